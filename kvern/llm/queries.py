@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvern.llm import tokens
+from kvern.llm import leaks, tokens
 
 #: Where the public vocabularies are; a parameter of the environment.
 TOKENIZERS = os.environ.get("KVERN_TOKENIZERS", "/opt/tokenizers")
@@ -18,6 +18,12 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(documents, f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-QUERIES = {"p7_ids": p7_ids}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    items = spark.read.parquet(f"{folder}/eval_items.parquet")
+    return leaks.find_leaks(documents, items).select("doc_id", "item_id")
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
 MODULES = [sys.modules[__name__]]
