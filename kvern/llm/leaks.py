@@ -25,6 +25,8 @@ MIN_WORDS = 15  # shortest passage that counts
 #: An alignment gives 1 for a word that is the same, -1 for one that differs or is missing.
 MIN_SCORE, MIN_IDENTITY = 12, 0.82
 TILE = 256  # words; hits of one tile of a text share a window
+SLACK = 16  # words that a passage may have more than its item
+PAIRS = 64  # windows aligned together
 BROADCAST_ROWS = 1_000_000
 
 
@@ -38,24 +40,34 @@ def _plain_letters() -> tuple[str, str]:
     return "".join(pairs), "".join(pairs.values())
 
 
+def _fold(word: Column) -> Column:
+    plain = F.translate(F.regexp_replace(word, f"[{_MARKS}]", ""), *_PLAIN)
+    for char, spelt in (("æ", "ae"), ("œ", "oe"), ("ß", "ss"), ("þ", "th")):
+        plain = F.replace(plain, F.lit(char), F.lit(spelt))
+    return plain
+
+
+_PLAIN = _plain_letters()
+_MARKS = r"\p{M}\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}"
+
+
 def plain_words(text: Column) -> Column:
     """Lower-case words without marks: spelling variants of one wording give the same words.
 
-    Markup tags part words, combining marks and invisible characters don't.
+    Markup tags part words, combining marks and invisible characters don't.  Only
+    words with other than ASCII characters are folded, since folding is dear.
     """
-    bare = F.lower(F.regexp_replace(text, r"<[^<>]{1,200}>", " "))
-    bare = F.regexp_replace(bare, r"[\p{M}\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]", "")
-    plain = F.translate(bare, *_plain_letters())
-    for char, spelt in (("æ", "ae"), ("œ", "oe"), ("ß", "ss"), ("þ", "th")):
-        plain = F.replace(plain, F.lit(char), F.lit(spelt))
-    return F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    bare = F.lower(F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, r"<[^<>]{1,200}>", " ")).otherwise(text))
+    words = F.regexp_extract_all(bare, F.lit(rf"[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}{_MARKS}]*"), F.lit(0))
+    return F.transform(words, lambda w: F.when(F.octet_length(w) == F.char_length(w), w).otherwise(_fold(w)))
 
 
 def _grams(rows: DataFrame, keep: list[str]) -> DataFrame:
     """``(keep..., pos, gram)``: hashes of the n-grams of ``words``; none where there are fewer words."""
-    parts = ", ".join(f"words[i + {k}]" for k in range(GRAM))
-    each = f"transform(sequence(0, size(words) - {GRAM}), i -> struct(i AS pos, xxhash64({parts}) AS gram))"
-    return rows.where(F.size("words") >= GRAM).selectExpr(*keep, f"inline({each})")
+    hashed = rows.where(F.size("words") >= GRAM).select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    parts = ", ".join(f"h[i + {k}]" for k in range(GRAM))
+    each = f"transform(sequence(0, size(h) - {GRAM}), i -> struct(i AS pos, xxhash64({parts}) AS gram))"
+    return hashed.selectExpr(*keep, f"inline({each})")
 
 
 def seeds(items: DataFrame) -> DataFrame:
@@ -75,31 +87,41 @@ def seeds(items: DataFrame) -> DataFrame:
     return rare.unionByName(chosen).distinct()
 
 
-def align(text: list[str], item: list[str]) -> tuple[int, int]:
-    """Best local alignment of two word lists: its score and its number of equal words.
+def align(texts: list[list[str]], items: list[list[str]]) -> list[tuple[int, int]]:
+    """For each pair of word lists the best local alignment: its score and its number of equal words.
 
-    Row by row; gaps along a row are a running maximum.  Equal words carry a tiny
-    extra, from which their number is read off the best score.
+    All pairs go together, row by row; gaps along a row are a running maximum.
+    Equal words carry a tiny extra, from which their number is read off the best score.
     """
     tiny = 2.0**-20
-    codes = {w: k for k, w in enumerate(dict.fromkeys(item))}
-    columns = np.array([codes[w] for w in item])
-    step = np.arange(len(item) + 1)
-    best, above = 0.0, np.zeros(len(item) + 1)
-    for word in text:
-        same = np.where(columns == codes.get(word, -1), 1 + tiny, -1.0)
-        row = np.zeros(len(item) + 1)
-        row[1:] = np.maximum(0.0, np.maximum(above[:-1] + same, above[1:] - 1))
-        above = np.maximum.accumulate(row + step) - step
-        best = max(best, float(above.max()))
-    score = round(best)
-    return score, round((best - score) / tiny)
+    wide, high = max(map(len, items)), max(map(len, texts))
+    columns = np.full((len(items), wide), -1)
+    rows = np.full((len(items), high), -2)
+    for k, (text, item) in enumerate(zip(texts, items, strict=True)):
+        codes = {w: c for c, w in enumerate(dict.fromkeys(item))}
+        columns[k, : len(item)] = [codes[w] for w in item]
+        rows[k, : len(text)] = [codes.get(w, -2) for w in text]
+    step = np.arange(wide + 1)
+    best, above = np.zeros(len(items)), np.zeros((len(items), wide + 1))
+    row = np.zeros((len(items), wide + 1))
+    for at in range(high):
+        same = np.where(columns == rows[:, at : at + 1], 1 + tiny, -1.0)
+        row[:, 1:] = np.maximum(np.maximum(above[:, :-1] + same, above[:, 1:] - 1), 0.0)
+        above = np.maximum.accumulate(row + step, axis=1) - step
+        best = np.maximum(best, above.max(axis=1))
+    scores = np.rint(best)
+    return [(int(s), round((b - s) / tiny)) for s, b in zip(scores, best, strict=True)]
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, items, windows, words = (c.to_pylist() for c in batch.columns)
-        found = [align(w, i) for w, i in zip(windows, words, strict=True)]
+        windows, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        order = sorted(range(len(windows)), key=lambda k: len(windows[k]))  # pairs of like length go together
+        found = [(0, 0)] * len(order)
+        for start in range(0, len(order), PAIRS):
+            some = order[start : start + PAIRS]
+            for k, result in zip(some, align([windows[k] for k in some], [items[k] for k in some]), strict=True):
+                found[k] = result
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array([s for s, _ in found], pa.int32()), pa.array([e for _, e in found], pa.int32())],
             names=["doc_id", "item_id", "score", "equal"],
@@ -124,14 +146,15 @@ def leak_scores(documents: DataFrame, items: DataFrame) -> DataFrame:
     texts = documents.select("doc_id", plain_words(F.col("text")).alias("words"))
     hits = _grams(texts, ["doc_id"]).join(_sized(seed, seed.count()), "gram")
     windows = hits.groupBy("doc_id", "item_id", F.floor(F.col("pos") / TILE).alias("tile")).agg(
-        F.min("pos").alias("low"), F.max("pos").alias("high")
+        F.min(F.col("pos") - F.col("at")).alias("low"), F.max(F.col("pos") - F.col("at")).alias("high")
     )
     found = stage.write(windows, "windows")
     texts_hit = texts.join(_sized(found, found.count()), "doc_id")
     item_words = words.select("item_id", F.col("words").alias("item"))
     full = texts_hit.join(_sized(item_words, items.count()), "item_id")
-    low = F.greatest(F.lit(0), F.col("low") - F.size("item"))
-    window = F.slice("words", low + 1, F.col("high") - low + GRAM + F.size("item"))
+    # low and high are where the item would begin in the text, by its hits
+    low = F.greatest(F.lit(0), F.col("low") - SLACK)
+    window = F.slice("words", low + 1, F.col("high") - low + F.size("item") + SLACK)
     schema = f"doc_id {dict(documents.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, score int, equal int"
     return full.select("doc_id", "item_id", window.alias("window"), "item").mapInArrow(_score, schema)
 
