@@ -64,10 +64,10 @@ def plain_words(text: Column) -> Column:
 
 def _grams(rows: DataFrame, keep: list[str]) -> DataFrame:
     """``(keep..., pos, gram)``: hashes of the n-grams of ``words``; none where there are fewer words."""
-    hashed = rows.where(F.size("words") >= GRAM).select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    hashed = rows.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))  # no filter: it would split the text twice
     parts = ", ".join(f"h[i + {k}]" for k in range(GRAM))
     each = f"transform(sequence(0, size(h) - {GRAM}), i -> struct(i AS pos, xxhash64({parts}) AS gram))"
-    return hashed.selectExpr(*keep, f"inline({each})")
+    return hashed.selectExpr(*keep, f"inline(CASE WHEN size(h) >= {GRAM} THEN {each} END)")
 
 
 def seeds(items: DataFrame) -> DataFrame:
@@ -149,7 +149,9 @@ def leak_scores(documents: DataFrame, items: DataFrame) -> DataFrame:
         F.min(F.col("pos") - F.col("at")).alias("low"), F.max(F.col("pos") - F.col("at")).alias("high")
     )
     found = stage.write(windows, "windows")
-    texts_hit = texts.join(_sized(found, found.count()), "doc_id")
+    # the texts hit are split into words again; the join comes first, so that no other text is
+    texts_hit = documents.select("doc_id", "text").join(_sized(found, found.count()), "doc_id")
+    texts_hit = texts_hit.withColumn("words", plain_words(F.col("text"))).drop("text")
     item_words = words.select("item_id", F.col("words").alias("item"))
     full = texts_hit.join(_sized(item_words, items.count()), "item_id")
     # low and high are where the item would begin in the text, by its hits
