@@ -6,8 +6,9 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kvern.llm import leaks, tokens
+from kvern.llm import garbling, leaks, tokens
 
 #: Where the public vocabularies are; a parameter of the environment.
 TOKENIZERS = os.environ.get("KVERN_TOKENIZERS", "/opt/tokenizers")
@@ -24,6 +25,15 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(documents, items).select("doc_id", "item_id")
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbling.find_garbled(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
+def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    return garbling.restore_garbled(documents).select("doc_id", F.col("restored").alias("text"), "left")
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
 ORACLES: dict[str, str] = {}
 MODULES = [sys.modules[__name__]]
