@@ -8,12 +8,16 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvern.llm import garbling, leaks, tokens
+from kvern.llm import boilerplate, garbling, leaks, tokens
 
 #: Where the public vocabularies are; a parameter of the environment.
 TOKENIZERS = os.environ.get("KVERN_TOKENIZERS", "/opt/tokenizers")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.main_content(spark.read.parquet(f"{folder}/web_pages.parquet"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     return tokens.encode_corpus(documents, f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -34,6 +38,6 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garbling.restore_garbled(documents).select("doc_id", F.col("restored").alias("text"), "left")
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
 ORACLES: dict[str, str] = {}
 MODULES = [sys.modules[__name__]]
