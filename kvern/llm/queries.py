@@ -8,12 +8,22 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvern.llm import boilerplate, garbling, leaks, tokens
+from kvern.llm import boilerplate, garbling, leaks, matching, tokens
 
 #: Where the public vocabularies are; a parameter of the environment.
 TOKENIZERS = os.environ.get("KVERN_TOKENIZERS", "/opt/tokenizers")
 
 
+def p1_matches(spark: SparkSession, folder: str) -> DataFrame:
+    tables = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("subunit_pages", "job_entries", "entities"))
+    return matching.match(*tables)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    sure = p1_matches(spark, folder).where(F.col("confidence") >= matching.MIN_CONFIDENCE)
+    return sure.select("organisasjonsnummer", "uuid")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.main_content(spark.read.parquet(f"{folder}/web_pages.parquet"))
 
@@ -38,6 +48,6 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garbling.restore_garbled(documents).select("doc_id", F.col("restored").alias("text"), "left")
 
 
-QUERIES = {"p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
 ORACLES: dict[str, str] = {}
 MODULES = [sys.modules[__name__]]
