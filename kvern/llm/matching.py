@@ -67,9 +67,10 @@ def name_words(name: str | None, places: set[str | None]) -> tuple[list[str], st
     return words, place
 
 
-def _deletions(word: str) -> list[str]:
-    """The word and each form with one letter left out: two words one slip apart share one of these."""
-    return sorted({word, *(word[:k] + word[k + 1 :] for k in range(len(word)))})
+def _deletions(word: str) -> Column:
+    """A column's word and each form with one letter left out: two words one slip apart share one of these."""
+    shorter = f"transform(sequence(1, length({word})), i -> concat(substring({word}, 1, i - 1), substring({word}, i + 1)))"
+    return F.expr(f"array_distinct(array_append({shorter}, {word}))")
 
 
 def _keys(name: str | None, places: set[str | None], host: str | None) -> dict[str, str | None]:
@@ -280,10 +281,9 @@ def match(pages: DataFrame, entries: DataFrame, entities: DataFrame | None = Non
     rest = current.where(F.col("rule").isNull() & bare & F.col("town").isNotNull()).select("uuid", "town", "words", "first", "last", "initial", "short")
     any_word = rest.select("uuid", "town", F.explode("words").alias("first")).join(firsts, ["first", "town"])
     current = _late(current, any_word, "any word and town")
-    gone = F.udf(_deletions, "array<string>")
     rest = current.where(F.col("rule").isNull() & bare & F.col("town").isNotNull()).select("uuid", "town", "first", "last", "initial", "short")
-    near = placed.where(F.length("first") > 4).select("org", "town", "last", F.explode(gone("first")).alias("slip"))
-    slips = rest.where(F.length("first") > 4).select("uuid", "town", F.col("last").alias("ad_last"), F.explode(gone("first")).alias("slip")).join(near, ["slip", "town"])
+    near = placed.where(F.length("first") > 4).select("org", "town", "last", F.explode(_deletions("first")).alias("slip"))
+    slips = rest.where(F.length("first") > 4).select("uuid", "town", F.col("last").alias("ad_last"), F.explode(_deletions("first")).alias("slip")).join(near, ["slip", "town"])
     same = F.col("last").eqNullSafe(F.col("ad_last")) | F.col("ad_last").isNull() | F.startswith(F.col("last"), F.col("ad_last"))
     current = _late(current, slips.where(F.coalesce(same, F.lit(False))), "slip in name and town")
     rest = current.where(F.col("rule").isNull() & bare & F.col("town").isNotNull() & F.col("short").isNotNull()).select("uuid", "town", "initial", "short")
