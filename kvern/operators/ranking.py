@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvern.session import Stage
+
 
 def best(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in an order.  Null keys are a key of their own; an empty table gives no rows."""
@@ -41,16 +43,17 @@ def chunked(df: DataFrame, order: list[Column], size: int, parts: int = 64) -> D
     """``chunk``: number of the block of ``size`` rows a row falls into in a total order.
 
     The order is cut into ranges, ranges are counted, and a row's place is its place
-    in its range plus the rows of the ranges before: no task sees all rows.
+    in its range plus the rows of the ranges before: no task sees all rows.  The
+    ranges are written first, since a second cut need not fall on the same rows.
     """
-    keys = [f"_k{i}" for i in range(len(order))]
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    placed = ranged.withColumn("_place", within)
+    at = F.spark_partition_id()
+    ranged = Stage(df.sparkSession, "chunks").write(df.repartitionByRange(parts, *order).withColumn("_part", at), "ranges")
+    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = placed.join(F.broadcast(before.select("_part", "_before")), "_part")
-    return joined.withColumn("chunk", F.floor((F.col("_before") + F.col("_place") - 1) / size).cast("bigint")).drop("_part", "_place", "_before", *keys)
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    joined = placed.join(F.broadcast(before), "_part")
+    return joined.withColumn("chunk", F.floor((F.col("_before") + F.col("_place") - 1) / size).cast("bigint")).drop("_part", "_place", "_before")
 
 
 def running(df: DataFrame, key: str, order: list[Column], amount: Column, limit: float) -> DataFrame:

@@ -1 +1 @@
-
+"""Structured Streaming over change feeds."""
