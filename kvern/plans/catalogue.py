@@ -1,6 +1,6 @@
 """The modules that hold queries, and the flagship among these."""
 
-from kvern.plans import records
+from kvern.plans import companies, records
 
-MODULES = [records]
-FLAGSHIP = records.p3_found
+MODULES = [records, companies]
+FLAGSHIP = companies.QUERIES["screen_topn_revenue"]

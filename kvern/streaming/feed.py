@@ -68,30 +68,30 @@ def upserts(stream: DataFrame) -> DataFrame:
 
 
 def run_now(result: DataFrame, mode: str, rocksdb: bool = False) -> DataFrame:
-    """All that is there now, worked off as a stream; the sink's rows as a table."""
+    """All that is there now, worked off as a stream in append or update mode; what came out as a table, with ``_batch``."""
     spark = result.sparkSession
-    name = f"feed_{uuid.uuid4().hex[:12]}"
     stage = Stage(spark, "stream")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
     if rocksdb:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    target = stage.path("rows")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/{number}")  # a batch run again replaces itself
+
     try:
         writer = result.writeStream.outputMode(mode).option("checkpointLocation", stage.path("state")).trigger(availableNow=True)
-        if mode == "complete":
-            query = writer.format("memory").queryName(name).start()
-        else:
-            target = stage.path("rows")
+        writer.foreachBatch(put).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], result.schema).withColumn("_batch", F.lit(0))
+    return spark.read.option("recursiveFileLookup", True).parquet(target)
 
-            def put(batch: DataFrame, number: int) -> None:
-                batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(target)
 
-            query = writer.foreachBatch(put).start()
-        query.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    if mode == "complete":
-        return spark.table(name)
-    empty = spark.createDataFrame([], result.schema)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage.path("rows"))
-    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.parquet(stage.path("rows")) if there else empty.withColumn("_batch", F.lit(0))
+def settled(rows: DataFrame, key: str) -> DataFrame:
+    """Of a key's updates the last."""
+    rest = [c for c in rows.columns if c not in (key, "_batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(key, "r.*")
