@@ -19,7 +19,7 @@ NETWORKS = {
 
 
 def _marked_letters() -> tuple[str, str]:
-    pairs = {"ø": "o", "å": "a"}
+    pairs = {"ø": "o", "å": "a", chr(0xA0): " ", chr(0x2007): " ", chr(0x202F): " "}
     for code in range(0xC0, 0x250):
         char = chr(code).lower()
         base = unicodedata.normalize("NFKD", char)

@@ -8,9 +8,12 @@ from urllib.parse import quote, unquote
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-_RULES = "array<struct<agent:string,allow:boolean,path:string,pattern:string,length:int>>"
+_RULES = T.ArrayType(
+    T.StructType().add("agent", T.StringType()).add("allow", T.BooleanType()).add("path", T.StringType()).add("pattern", T.StringType()).add("length", T.IntegerType())
+)
 
 
 def _normal(path: str) -> str:
@@ -20,7 +23,7 @@ def _normal(path: str) -> str:
 
 def _pattern(path: str) -> str:
     body, end = (path[:-1], "$") if path.endswith("$") else (path, "")
-    return "^" + ".*".join(re.escape(p).replace("/", "/") for p in body.replace("$", "").split("*")) + end
+    return "^" + ".*".join(re.escape(p) for p in body.replace("$", "").split("*")) + end
 
 
 def rules_of(body: str | None) -> list[dict]:

@@ -1,6 +1,6 @@
 """The modules that hold queries, and the flagship among these."""
 
-from kvern.plans import companies, records
+from kvern.plans import companies, feeds, records, runs, texts
 
-MODULES = [records, companies]
+MODULES = [records, companies, runs, feeds, texts]
 FLAGSHIP = companies.QUERIES["screen_topn_revenue"]

@@ -12,12 +12,17 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-PAGE = (
-    "struct<title:string,description:string,h1:string,lang:string,canonical:string,lines:array<string>,"
-    "links:array<struct<url:string,text:string>>,feeds:array<string>,jsonld:array<string>,contacts:array<string>>"
-)
+
+def _strings(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+_MANY = T.ArrayType(T.StringType())
+PAGE = _strings("title", "description", "h1", "lang", "canonical").add("lines", _MANY).add("links", T.ArrayType(_strings("url", "text")))
+PAGE = PAGE.add("feeds", _MANY).add("jsonld", _MANY).add("contacts", _MANY)
 _BLOCKS = frozenset("p div li ul ol h1 h2 h3 h4 h5 h6 br tr td th table section article header footer nav main aside title".split())
 _SILENT = frozenset(("script", "style", "noscript", "template"))
 FEED_ITEMS = 20
@@ -111,7 +116,7 @@ def pages_of(bodies: pd.Series, urls: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "description", "h1", "lang", "canonical", "lines", "links", "feeds", "jsonld", "contacts"])
 
 
-_ITEMS = "array<struct<title:string,url:string,published:string>>"
+_ITEMS = T.ArrayType(_strings("title", "url", "published"))
 
 
 def feed_items(body: str | None) -> list[dict]:
@@ -169,6 +174,6 @@ def structured_nodes(body: str) -> list[dict]:
     return out
 
 
-@pandas_udf("array<struct<path:string,type:string,node:string>>")
+@pandas_udf(T.ArrayType(_strings("path", "type", "node")))
 def nodes_of(bodies: pd.Series) -> pd.Series:
     return bodies.map(lambda b: structured_nodes(b) if b else [])
