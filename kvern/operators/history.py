@@ -15,8 +15,42 @@ from pyspark.sql import functions as F
 from kvern.operators import snapshots
 
 
+def ledger(updates: DataFrame) -> DataFrame:
+    """``(key, value, valid_from, valid_to, recorded_from, recorded_to)`` of updates ``(key, value, valid_from, valid_to, recorded_at)``.
+
+    Periods are half open.  An update recorded later holds for its whole period from
+    then on; what was recorded before for a part of it is split there and ends being
+    current, but stays.  ``recorded_to`` is null for what is current.  Updates with a
+    null or empty period or key are none; of updates recorded at one time for one
+    part the one with the greater value holds.  The same update twice counts once.
+
+    The sweep line: a key's period bounds cut time into elementary parts, numbered in
+    order; an update is laid over its parts by number, each part's updates follow
+    each other by recording time, and parts of one update that ended being current at
+    the same time are joined again.  All joins are on equal keys.
+    """
+    sound = updates.where("key IS NOT NULL AND valid_from < valid_to AND recorded_at IS NOT NULL").distinct()
+    bounds = sound.select("key", F.explode(F.array("valid_from", "valid_to")).alias("bound")).distinct()
+    numbered = bounds.withColumn("part", F.row_number().over(Window.partitionBy("key").orderBy("bound")))
+    first = numbered.select("key", F.col("bound").alias("valid_from"), F.col("part").alias("begins"))
+    last = numbered.select("key", F.col("bound").alias("valid_to"), F.col("part").alias("ends"))
+    placed = sound.join(first, ["key", "valid_from"]).join(last, ["key", "valid_to"])
+    update = F.struct("recorded_at", "value", "begins", "ends")
+    parts = placed.select("key", update.alias("u"), F.explode(F.sequence(F.col("begins"), F.col("ends") - 1)).alias("part"))
+    following = Window.partitionBy("key", "part").orderBy("u")
+    spans = parts.withColumn("until", F.lead("u.recorded_at").over(following)).where("until IS NULL OR until > u.recorded_at")
+    run = Window.partitionBy("key", "u", "until").orderBy("part")
+    islands = spans.withColumn("island", F.col("part") - F.row_number().over(run))
+    joined = islands.groupBy("key", "u", "until", "island").agg(F.min("part").alias("a"), (F.max("part") + 1).alias("b"))
+    from_ = numbered.select("key", F.col("part").alias("a"), F.col("bound").alias("valid_from"))
+    to = numbered.select("key", F.col("part").alias("b"), F.col("bound").alias("valid_to"))
+    return joined.join(from_, ["key", "a"]).join(to, ["key", "b"]).select(
+        "key", F.col("u.value").alias("value"), "valid_from", "valid_to", F.col("u.recorded_at").alias("recorded_from"), F.col("until").alias("recorded_to")
+    )
+
+
 def statements(envelopes: DataFrame) -> DataFrame:
-    """The ledger's entries: ``(entity, id, run_no, digest, observed, recorded_from, recorded_to)``.
+    """The ledger of deliveries.  A delivery covers one run, which is an elementary part already, so nothing has to be split first: ``(entity, id, run_no, digest, observed, recorded_from, recorded_to)``.
 
     A row per fact and delivery; ``recorded_to`` is null while the delivery holds.
     Deliveries that are the same in all respects count once.  Nothing is
