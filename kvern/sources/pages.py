@@ -88,7 +88,7 @@ class _Page(HTMLParser):
         elif not _SILENT & set(self.inside):
             for tag, name in (("title", "title"), ("h1", "h1")):
                 if tag in self.inside:
-                    self.out[name] = ((self.out[name] or "") + data).strip()
+                    self.out[name] = (self.out[name] or "") + data
             if "title" not in self.inside:
                 self.line.append(data)
             if self.link:
@@ -107,13 +107,14 @@ def parse_page(body: str | None, url: str | None) -> dict | None:
     for x in page.out["links"]:
         links[x["url"]] = links.get(x["url"]) or x["text"]
     lists = {k: list(dict.fromkeys(page.out[k])) for k in ("feeds", "contacts")}
-    return page.out | lists | {"lines": page.lines, "links": [{"url": u, "text": t} for u, t in links.items()]}
+    names = {k: None if page.out[k] is None else " ".join(page.out[k].split()) for k in ("title", "h1")}
+    return page.out | lists | names | {"lines": page.lines, "links": [{"url": u, "text": t} for u, t in links.items()]}
 
 
 @pandas_udf(PAGE)
 def pages_of(bodies: pd.Series, urls: pd.Series) -> pd.DataFrame:
     rows = [parse_page(b, u) or {} for b, u in zip(bodies, urls, strict=True)]
-    return pd.DataFrame(rows, columns=["title", "description", "h1", "lang", "canonical", "lines", "links", "feeds", "jsonld", "contacts"])
+    return pd.DataFrame({name: pd.Series([r.get(name) for r in rows], dtype=object) for name in PAGE.names})
 
 
 _ITEMS = T.ArrayType(_strings("title", "url", "published"))
