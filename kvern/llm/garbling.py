@@ -25,11 +25,13 @@ from kvern.llm import codecs_seen
 from kvern.session import Stage
 
 MIN_PATTERNS = 3  # patterns that must show a transformation, twice as many as show its reverse
+MIN_LETTERS = 2  # characters that a one-byte transformation must be seen to change: names that differ in one letter show just one
+CLEARLY = 4  # times as many texts with the clean spelling as with the garbled one, for a pattern to show a transformation
 MIN_RELIABILITY = 0.5  # share of a character's texts in which it is garbled
 SURE_LETTERS = 4  # ASCII letters of a word from which a verdict without a twin is enough
 BROADCAST_ROWS = 500_000
 
-_PAIR = "pattern string, garbled string, clean string, transform string, n_garbled bigint, n_clean bigint"
+_PAIR = "pattern string, garbled string, clean string, transform string, n_garbled bigint, n_clean bigint, changed string"
 _VERDICT = "pattern string, form string, restored string, transform string"
 
 
@@ -71,25 +73,38 @@ def _transforms_between(clean: str, garbled: str) -> frozenset[str]:
     return common or frozenset()
 
 
+def _changed(clean: str, garbled: str) -> str:
+    """The clean characters of the runs that differ, each once."""
+    runs = zip(codecs_seen.runs(clean), codecs_seen.runs(garbled), strict=True)
+    return "".join(sorted({x for c, g in runs if c != g for x in c}))
+
+
 def _explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Both ways round: the more frequent spelling is clean as a rule, but not where a garbled text has many copies."""
     for batch in batches:
         rows: list[tuple] = []
         for pattern, form, n, lead, n_lead in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for clean, garbled, a, b in ((lead, form, n_lead, n), (form, lead, n, n_lead)):
-                rows += [(pattern, garbled, clean, name, b, a) for name in _transforms_between(clean, garbled)]
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = [pa.string()] * 4 + [pa.int64()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["pattern", "garbled", "clean", "transform", "n_garbled", "n_clean"])
+                names = _transforms_between(clean, garbled)
+                changed = _changed(clean, garbled) if names else ""
+                rows += [(pattern, garbled, clean, name, b, a, changed) for name in names]
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = [pa.string()] * 4 + [pa.int64()] * 2 + [pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["pattern", "garbled", "clean", "transform", "n_garbled", "n_clean", "changed"])
 
 
 def learn(pairs: DataFrame) -> list[str]:
     """Names of the transformations that the twins show, those with most patterns first."""
+    clearly = F.col("n_clean") >= CLEARLY * F.col("n_garbled")
     counted = pairs.groupBy("transform").agg(
-        F.count_distinct(F.when(F.col("n_clean") >= F.col("n_garbled"), F.col("pattern"))).alias("towards"),
-        F.count_distinct(F.when(F.col("n_clean") < F.col("n_garbled"), F.col("pattern"))).alias("against"),
+        F.count_distinct(F.when(clearly, F.col("pattern"))).alias("towards"),
+        F.count_distinct(F.when(F.col("n_garbled") >= CLEARLY * F.col("n_clean"), F.col("pattern"))).alias("against"),
+        F.count_distinct(F.when(clearly & (F.length("changed") == 1), F.col("changed"))).alias("letters"),
     )
-    rows = counted.where(f"towards >= {MIN_PATTERNS} AND towards >= 2 * against").collect()  # at most a row per codec pair
+    known = codecs_seen.transformations()
+    plain = [n for n, t in known.items() if t.direct]
+    enough = F.col("transform").isin(plain) | (F.col("letters") >= MIN_LETTERS)
+    rows = counted.where(enough & (F.col("towards") >= MIN_PATTERNS) & (F.col("towards") >= 2 * F.col("against"))).collect()  # a row per codec pair at most
     return [r.transform for r in sorted(rows, key=lambda r: (-r.towards, r.transform))]
 
 
