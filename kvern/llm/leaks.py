@@ -23,7 +23,7 @@ GRAM = 5  # words in a seed
 RARE = 3  # items that may share a seed
 MIN_WORDS = 15  # shortest passage that counts
 #: An alignment gives 1 for a word that is the same, -1 for one that differs or is missing.
-MIN_SCORE, MIN_IDENTITY = 12, 0.82
+MIN_SCORE, MIN_IDENTITY = 12, 0.81
 TILE = 256  # words; hits of one tile of a text share a window
 SLACK = 16  # words that a passage may have more than its item
 PAIRS = 64  # windows aligned together
