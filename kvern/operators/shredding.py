@@ -74,7 +74,7 @@ def stripe(leaf: Leaf, record) -> None:
         if depth == len(steps):
             rep.append(start)
             dfn.append(level)
-            values.append(node if isinstance(node, str) else None)
+            values.append(node if isinstance(node, str) else str(node).lower() if isinstance(node, bool) else None)
             continue
         name, repeated = steps[depth]
         child = node.get(name) if isinstance(node, dict) else None
@@ -141,7 +141,7 @@ def shred_table(
     outermost level, counting from 0.  ``source`` is a JSON text (``as_json``) or a
     nested column.  Null or unreadable sources, missing or empty lists give no row;
     a null element of a list takes up its position and gives no row; missing or null
-    leaves, and leaves that are no string or number, are null.  Repeated records are
+    leaves, objects and lists are null; numbers and truth values come as written.  Repeated records are
     each taken by themselves.  Other columns of ``df`` are not read.
     """
     paths = {name: parse_path(f"{ancestor}.{path}") for name, path in leaves.items()}
