@@ -28,7 +28,7 @@ def spans(text: str) -> dict[str, tuple[int, int, int]]:
             stack.append([pointer, text[at], at, member, -1])
             at = _SPACE.match(text, at + 1).end()
             if text[at : at + 1] != ("}" if stack[-1][1] == "{" else "]"):
-                at, pointer, member = _next(text, at, stack[-1])
+                at, pointer, member = _next(text, at, stack[-1], out)
                 continue
         else:
             m = (_STRING if text[at : at + 1] == '"' else _SCALAR).match(text, at)
@@ -46,18 +46,16 @@ def spans(text: str) -> dict[str, tuple[int, int, int]]:
             if mark == ("}" if top[1] == "{" else "]"):
                 stack.pop()
                 at += 1
-                for old in [p for p in out if p == top[0]]:
-                    del out[old]
                 out[top[0]] = (top[3], top[2], at)
                 continue
             if mark != ",":
                 raise ValueError(f"a comma is missing at {at}")
             at = _SPACE.match(text, at + 1).end()
-            at, pointer, member = _next(text, at, top)
+            at, pointer, member = _next(text, at, top, out)
             break
 
 
-def _next(text: str, at: int, top: list) -> tuple[int, str, int]:
+def _next(text: str, at: int, top: list, out: dict) -> tuple[int, str, int]:
     """The next member of an open container: where its value starts, its pointer, where the member starts."""
     top[4] += 1
     if top[1] == "[":
@@ -69,7 +67,11 @@ def _next(text: str, at: int, top: list) -> tuple[int, str, int]:
     if text[colon : colon + 1] != ":":
         raise ValueError(f"a colon is missing at {colon}")
     key = json.loads(m.group()).replace("~", "~0").replace("/", "~1")
-    return _SPACE.match(text, colon + 1).end(), f"{top[0]}/{key}", at
+    pointer = f"{top[0]}/{key}"
+    if pointer in out:  # a repeated key: what stood below the earlier one is gone with it
+        for old in [p for p in out if p == pointer or p.startswith(pointer + "/")]:
+            del out[old]
+    return _SPACE.match(text, colon + 1).end(), pointer, at
 
 
 def quote(text: str | None, pointer: str, most: int = 4000) -> str | None:
