@@ -53,10 +53,13 @@ def holding(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def facts(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """A row per fact.  Of one id that a delivery repeats, the first holds; a null id is none."""
+    """A row per fact.  Of one id that a delivery repeats, the first holds; a null id is none.
+
+    Only deliveries that do repeat an id look its first place up.
+    """
     parts = F.arrays_zip("ids", *fields.values())
-    # position in step with the ids; array_position finds the first
-    out = rows.select(*[c for c in rows.columns if c not in ("ids", *fields.values())], "ids", F.posexplode(parts).alias("pos", "f"))
-    out = out.where("f.ids IS NOT NULL AND array_position(ids, f.ids) = pos + 1")
-    keep = [c for c in out.columns if c not in ("ids", "pos", "f")]
+    repeats = F.size(F.array_distinct("ids")) < F.size("ids")
+    keep = [c for c in rows.columns if c not in ("ids", *fields.values())]
+    out = rows.select(*keep, F.when(repeats, F.col("ids")).alias("ids"), F.posexplode(parts).alias("pos", "f"))
+    out = out.where("f.ids IS NOT NULL AND (ids IS NULL OR array_position(ids, f.ids) = pos + 1)")
     return out.select(*keep, F.col("f.ids").alias("id"), *[F.col(f"f.{v}").alias(k) for k, v in fields.items()])
