@@ -177,12 +177,14 @@ def garbled_spellings(documents: DataFrame, key: str = "doc_id") -> tuple[DataFr
     kind = dict(documents.dtypes)[key]
     words = stage.write(documents.select(key, "text").mapInArrow(_words(key), f"{key} {kind}, pattern string, form string"), "words")
     forms = words.groupBy("pattern", "form").agg(F.count("*").alias("n"))
-    # spellings of a pattern, not occurrences, share a partition
+    # spellings of a pattern, not occurrences, share a partition; words without a letter to join on, as of
+    # other scripts, have no twins and would all share one
+    lettered = F.col("pattern").rlike("[A-Za-z]")
     first = Window.partitionBy("pattern").orderBy(F.col("n").desc(), "form")
-    ranked = forms.select("*", F.first("form").over(first).alias("lead"), F.first("n").over(first).alias("n_lead"))
-    ranked = stage.write(ranked.withColumn("kinds", F.count("*").over(Window.partitionBy("pattern"))), "forms")
-    spaced = F.col("pattern").rlike("[A-Za-z]")
-    twins = ranked.where((F.col("kinds") > 1) & spaced)
+    led = forms.where(lettered).select("*", F.first("form").over(first).alias("lead"), F.first("n").over(first).alias("n_lead"))
+    single = forms.where(~lettered).select("*", F.col("form").alias("lead"), F.col("n").alias("n_lead"))
+    ranked = stage.write(led.unionByName(single), "forms")
+    twins = ranked
     others = twins.where("form <> lead").select("pattern", "form", "n", "lead", "n_lead")
     pairs = stage.write(others.mapInArrow(_explain, _PAIR), "pairs")
 
