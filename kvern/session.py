@@ -36,12 +36,23 @@ class Stage:
 
     A written table cuts the lineage: if an executor is lost later, the table is
     read again instead of being computed again.  ``drop`` removes a table that no
-    later step reads.
+    later step reads; the rest, which results may still read, goes when the session's
+    driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        at, files = self._files(self.root)
+        files.deleteOnExit(at)
+
+    def _files(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def there(self, table: str) -> bool:
+        at, files = self._files(self.path(table))
+        return files.exists(at)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -54,9 +65,8 @@ class Stage:
         return self.spark.read.schema(like.schema).parquet(*map(self.path, tables))
 
     def drop(self, table: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        at, files = self._files(self.path(table))
+        files.delete(at, True)
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:

@@ -85,8 +85,7 @@ def run_now(result: DataFrame, mode: str, rocksdb: bool = False) -> DataFrame:
         writer.foreachBatch(put).start().awaitTermination()
     finally:
         spark.conf.set(provider, before)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not stage.there("rows"):
         return spark.createDataFrame([], result.schema).withColumn("_batch", F.lit(0))
     return spark.read.option("recursiveFileLookup", True).parquet(target)
 
