@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kvern.functions import identifiers, money, text
+from kvern.functions import identifiers, money
 from kvern.operators import asking, facts, gate, ranking, screen
 from kvern.operators.audit import FAMILIES
 from kvern.plans import tables

@@ -240,6 +240,8 @@ ORACLES = {
       SELECT field, count(*) FILTER (before <> value) AS changed, count(before) AS seen_before FROM l GROUP BY field""",
     "guessed_domains": f"""WITH n AS (SELECT DISTINCT organisasjonsnummer, CASE WHEN len({_KEPT}) > 0 THEN {_KEPT} ELSE {_WORDS} END AS w FROM entities)
       SELECT DISTINCT organisasjonsnummer, unnest([array_to_string(w, ''), array_to_string(w, '-'), w[1]]) || '.no' AS domain FROM n""",
+    "json_quotes": """SELECT record_id, '"kode": ' || CAST(json_extract(body, '$.rollegrupper[0].type.kode') AS VARCHAR) AS quote FROM role_records
+      WHERE json_valid(body) AND json_type(body, '$.rollegrupper') = 'ARRAY' AND json_exists(body, '$.rollegrupper[0].type.kode')""",
     "decoded_bodies": "SELECT DISTINCT organisasjonsnummer, navn AS name FROM entities",
     "observations": f"""WITH {NOW_SQL} SELECT entity, id, CASE field WHEN 'job_posting' THEN 'job_board' WHEN 'employees' THEN 'registry' ELSE 'company_site' END AS platform,
       CASE field WHEN 'job_posting' THEN 'job_posting' WHEN 'employees' THEN 'workforce_snapshot' ELSE 'company_profile' END AS signal FROM current_claim WHERE field IN {tuple(OBSERVED)}""",
