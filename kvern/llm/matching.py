@@ -26,6 +26,7 @@ from kvern.session import Stage
 BOARD_EMPLOYERS = 10  # first path steps on a site of no registered firm that make it a job board
 PRIOR_RIGHT, PRIOR_ALL = 2.0, 2.5  # smoothing of a rule's labelled precision: as if 2.5 labels had been seen, 2 of them right
 MIN_CONFIDENCE = 0.5
+BROADCAST_ROWS = 200_000  # workplaces up to which the rules' tables, of at most a row per workplace and word, are broadcast
 
 #: Short forms of company kinds, and hosts' parts that name no firm.
 KINDS = frozenset("as asa ans da enk sa sti ba nuf iks kf fli stift a s".split())
@@ -229,6 +230,8 @@ def match(pages: DataFrame, entries: DataFrame, entities: DataFrame | None = Non
     )
     open_to_all = stage.write(shared.unionByName(boards).distinct(), "open_hosts")
 
+    few = units.count() <= BROADCAST_ROWS
+    sized = lambda side: F.broadcast(side) if few else side
     where = units.groupBy("firm", "town").agg(F.min("org").alias("org"), F.count("*").alias("n"))
     alone = units.groupBy("firm").agg(F.min("org").alias("org"), F.count("*").alias("n")).where("n = 1").select("firm", "org")
     settled = stage.write(
@@ -245,10 +248,10 @@ def match(pages: DataFrame, entries: DataFrame, entities: DataFrame | None = Non
 
     # firms by site and mail host
     by_host = hosts.select(F.col("host").alias("k0"), F.col("firm").alias("hit"))
-    current = _pass(current, by_host, [mine("host")], "site", ~F.col("board"))
-    current = _pass(current, by_host, [mine("mail_host")], "mail host", ~F.col("provider"))
+    current = _pass(current, sized(by_host), [mine("host")], "site", ~F.col("board"))
+    current = _pass(current, sized(by_host), [mine("mail_host")], "mail host", ~F.col("provider"))
     current = current.withColumn("firm", F.col("found")).withColumn("found", F.lit(None).cast("string"))
-    in_town = settled.select(F.col("firm").alias("firm_at"), F.col("town").alias("town_at"), F.col("org").alias("org_at"))
+    in_town = sized(settled.select(F.col("firm").alias("firm_at"), F.col("town").alias("town_at"), F.col("org").alias("org_at")))
     guess = F.coalesce("town", F.when(F.col("ends").isNotNull(), F.col("ends")))
     at = current.withColumn("firm_at", _spread(F.col("firm"), F.col("uuid"))).withColumn("town_at", F.coalesce("town", F.lit("")))
     current = at.join(in_town, ["firm_at", "town_at"], "left").withColumn("found", F.col("org_at")).drop("firm_at", "town_at", "org_at")
@@ -266,14 +269,14 @@ def match(pages: DataFrame, entries: DataFrame, entities: DataFrame | None = Non
     single = units.join(alone.select("org"), "org", "left_semi").withColumn("town", F.lit(""))
     placed = units.where("town IS NOT NULL")
     both = placed.unionByName(single)
-    current = _pass(current, _table(both, ["mail", "town"], "org"), [mine("mail"), town], "mail and town")
-    current = _pass(current, _table(both, ["core", "town"], "org"), [mine("core"), town], "name and town")
-    current = _pass(current, _table(placed, ["core", "town"], "org"), [mine("before"), mine("ends")], "name with town")
+    current = _pass(current, sized(_table(both, ["mail", "town"], "org")), [mine("mail"), town], "mail and town")
+    current = _pass(current, sized(_table(both, ["core", "town"], "org")), [mine("core"), town], "name and town")
+    current = _pass(current, sized(_table(placed, ["core", "town"], "org")), [mine("before"), mine("ends")], "name with town")
     labels = both.select("org", "town", F.explode(F.array_distinct(F.array("joined", "first"))).alias("label"))
-    current = _pass(current, _table(labels, ["label", "town"], "org"), [mine("label"), town], "site label and town", ~F.col("board"))
-    current = _pass(current, _table(placed, ["first", "town"], "org"), [mine("step"), mine("town")], "board step and town", F.col("board"))
-    current = _pass(current, _table(placed, ["tokens", "town"], "org"), [mine("tokens"), mine("town")], "name words and town", bare)
-    current = _pass(current, _table(placed, ["first", "town"], "org"), [mine("first"), mine("town")], "first word and town", bare)
+    current = _pass(current, sized(_table(labels, ["label", "town"], "org")), [mine("label"), town], "site label and town", ~F.col("board"))
+    current = _pass(current, sized(_table(placed, ["first", "town"], "org")), [mine("step"), mine("town")], "board step and town", F.col("board"))
+    current = _pass(current, sized(_table(placed, ["tokens", "town"], "org")), [mine("tokens"), mine("town")], "name words and town", bare)
+    current = _pass(current, sized(_table(placed, ["first", "town"], "org")), [mine("first"), mine("town")], "first word and town", bare)
 
     # any word of the ad's name that is a workplace's first word there; one slip in the first word; an abbreviated first word
     current = stage.write(current, "by_name")

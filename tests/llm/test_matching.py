@@ -62,3 +62,9 @@ def test_empty_tables(spark):
     assert run(spark, [], []).count() == 0
     pages, ads = spark.createDataFrame([], PAGES), spark.createDataFrame([], ADS)
     assert matching.match(pages, ads).count() == 0
+
+
+def test_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BROADCAST_ROWS", 0)
+    got = {r.uuid: r.organisasjonsnummer for r in run(spark, UNITS, [a for a, _ in CASES]).collect()}
+    assert got == {a[0]: org for a, org in CASES if org}
