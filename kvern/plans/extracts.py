@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvern.functions import dates, identifiers, spans, text
+from kvern.functions.canonical import value_digests
 from kvern.operators import gate, ranking, shredding
 from kvern.plans import companies, tables
 from kvern.plans.tables import CLAIMS_SQL, ENTITIES_SQL, NOW_SQL, table
@@ -123,6 +124,13 @@ def value_before(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("before", lag).groupBy("field").agg(F.count_if(F.col("before").isNotNull() & (F.col("before") != F.col("value"))).alias("changed"), F.count("before").alias("seen_before"))
 
 
+def value_before_by_value(spark: SparkSession, folder: str) -> DataFrame:
+    """How often a claim's value, however spelled, differs from its last one, by field; a missing value is JSON null."""
+    rows = tables.claims(spark, folder).select("entity", "id", "run_no", "field", value_digests(F.array("value"))[0].alias("digest"))
+    lag = F.lag("digest").over(Window.partitionBy("entity", "id").orderBy("run_no"))
+    return rows.withColumn("before", lag).groupBy("field").agg(F.count_if(F.col("before") != F.col("digest")).alias("changed"), F.count("before").alias("seen_before"))
+
+
 def guessed_domains(spark: SparkSession, folder: str) -> DataFrame:
     """Domains a firm of a name may have: its words together, with hyphens, and the first alone."""
     rows = table(spark, folder, "entities").select("organisasjonsnummer", "navn").distinct()
@@ -187,7 +195,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         active_roles, workplace_completeness, wrong_parent, workforce_state, accounts_valid, envelope_states, viewer_list, safe_urls, other_numbers,
-        homepages_by_firm, required_evidence, known_filing_years, places_staff_board, user_cost, value_before, guessed_domains, json_quotes,
+        homepages_by_firm, required_evidence, known_filing_years, places_staff_board, user_cost, value_before, value_before_by_value, guessed_domains, json_quotes,
         decoded_bodies, observations, regated, run_report, dated_links, site_descriptions,
     )
 }

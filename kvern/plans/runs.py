@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvern.functions.canonical import value_digests
 from kvern.operators import audit, facts, ranking, refresh
 from kvern.plans import tables
 from kvern.plans.tables import CLAIMS_SQL, NOW_SQL, table
@@ -13,17 +14,19 @@ from kvern.sources import sinks
 STATES = ("available", "blocked", "failed", "not_available", "ambiguous", "not_applicable")
 
 
-def _two_runs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _two_runs(spark: SparkSession, folder: str, by_value: bool = False) -> tuple[DataFrame, DataFrame]:
     """The facts of the last two runs, as a typed difference wants them.
 
     A family counts as completely checked where the entity's facts of it are none of
-    them stale; a value's digest is that of its text, which SQL can compare too.
+    them stale.  A value's digest is that of its canonical form or, for the queries
+    that SQL stands beside, of its text: another spelling is another value to these.
     """
     rows = tables.claims(spark, folder).withColumn("stale", F.coalesce("stale", F.lit(False)))
     last = tables.runs(spark, folder).agg(F.max("run_no").alias("last"))
     both = rows.join(F.broadcast(last), F.col("run_no") >= F.col("last") - 1)
+    digest = value_digests(F.array("value"))[0] if by_value else F.xxhash64("value")
     shaped = both.select(
-        "run_no", "last", "id", "entity", "field", "family", "key", "value", F.xxhash64("value").alias("digest"), "effective_at", "stale"
+        "run_no", "last", "id", "entity", "field", "family", "key", "value", digest.alias("digest"), "effective_at", "stale"
     )
     done = shaped.groupBy("run_no", "entity", "family").agg((~F.max("stale")).alias("complete"))
     whole = shaped.join(done, ["run_no", "entity", "family"])
@@ -39,13 +42,21 @@ b AS (SELECT * FROM whole WHERE run_no = (SELECT max(run_no) - 1 FROM runs)),
 a AS (SELECT * FROM whole WHERE run_no = (SELECT max(run_no) FROM runs))"""
 
 
-def refresh_full_diff(spark: SparkSession, folder: str) -> DataFrame:
-    before, after = _two_runs(spark, folder)
+def _full_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     pairs = refresh.compare(before, after)
     same = F.coalesce(F.col("old.digest") == F.col("new.digest"), F.lit(False))
     return pairs.select("id", F.when((F.col("status") == "matched") & same, "same").otherwise(F.col("status")).alias("status"))
 
 
+def refresh_full_diff(spark: SparkSession, folder: str) -> DataFrame:
+    return _full_diff(*_two_runs(spark, folder))
+
+
+def refresh_full_diff_by_value(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``refresh_full_diff``, values compared as values: numbers by amount, lists without order."""
+    return _full_diff(*_two_runs(spark, folder, by_value=True))
+
+
 def refresh_stale_carry_forward(spark: SparkSession, folder: str) -> DataFrame:
     return refresh.carried_forward(*_two_runs(spark, folder)).select("id", "entity", "field", "stale")
 
@@ -54,20 +65,47 @@ def _typed(spark: SparkSession, folder: str) -> DataFrame:
     return refresh.typed_changes(*_two_runs(spark, folder), previous_day="2026-05-06")
 
 
+def _typed_by_value(spark: SparkSession, folder: str) -> DataFrame:
+    return refresh.typed_changes(*_two_runs(spark, folder, by_value=True), previous_day="2026-05-06")
+
+
 def refresh_typed_changes(spark: SparkSession, folder: str) -> DataFrame:
     return _typed(spark, folder).select("id", "entity", "field", "type", "material")
 
 
+def refresh_typed_changes_by_value(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``refresh_typed_changes``, values compared as values."""
+    return _typed_by_value(spark, folder).select("id", "entity", "field", "type", "material")
+
+
 def refresh_removed_when_complete(spark: SparkSession, folder: str) -> DataFrame:
     return _typed(spark, folder).where(F.col("type").startswith("removed_")).select("id", "entity", "type")
 
 
+def _filings(typed: DataFrame) -> DataFrame:
+    return typed.where("type IN ('new_filing', 'filing_value')").groupBy("entity", "type").agg(F.count("*").alias("n"))
+
+
 def refresh_new_filing_once(spark: SparkSession, folder: str) -> DataFrame:
-    return _typed(spark, folder).where("type IN ('new_filing', 'filing_value')").groupBy("entity", "type").agg(F.count("*").alias("n"))
+    return _filings(_typed(spark, folder))
+
+
+def refresh_new_filing_once_by_value(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``refresh_new_filing_once``, values compared as values."""
+    return _filings(_typed_by_value(spark, folder))
+
+
+def _by_type(typed: DataFrame) -> DataFrame:
+    return typed.groupBy("type").agg(F.count("*").alias("n"), F.count_if("material").alias("material"))
 
 
 def changes_by_type(spark: SparkSession, folder: str) -> DataFrame:
-    return _typed(spark, folder).groupBy("type").agg(F.count("*").alias("n"), F.count_if("material").alias("material"))
+    return _by_type(_typed(spark, folder))
+
+
+def changes_by_type_by_value(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``changes_by_type``, values compared as values."""
+    return _by_type(_typed_by_value(spark, folder))
 
 
 def value_equality(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,7 +197,7 @@ QUERIES = {
     for f in (
         refresh_full_diff, refresh_stale_carry_forward, refresh_typed_changes, refresh_removed_when_complete, refresh_new_filing_once, changes_by_type,
         value_equality, family_coverage, state_histogram, citation_first_match, provenance_fallback, integrity_violations, audit_counts, evidence_union,
-        claims_audit, bodies_once,
+        claims_audit, bodies_once, refresh_full_diff_by_value, refresh_typed_changes_by_value, refresh_new_filing_once_by_value, changes_by_type_by_value,
     )
 }
 
