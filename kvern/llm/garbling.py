@@ -7,7 +7,7 @@ run that a wrong decoding makes of the other tells the transformation.  A
 transformation that many patterns show is learnt; how its characters occur in clean
 words is counted.  Learnt transformations are then applied to words without a twin.
 
-The counts run over all texts.  Only tables whose size is bounded by the codecs come
+The counts run over all texts, each once however often it is delivered.  Only tables whose size is bounded by the codecs come
 to the driver: the patterns per transformation, and counts per character of these.
 """
 
@@ -46,8 +46,8 @@ def _words(key: str):
                     at.append(k)
                     forms.append(form)
                     patterns.append(pattern)
-            keys = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(patterns, pa.string()), pa.array(forms, pa.string())], names=[key, "pattern", "form"])
+            keys, same = (batch.column(k).take(pa.array(at, pa.int64())) for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([keys, same, pa.array(patterns, pa.string()), pa.array(forms, pa.string())], names=[key, "_text", "pattern", "form"])
 
     return each
 
@@ -120,7 +120,7 @@ def reliability(pairs: DataFrame, ranked: DataFrame, learnt: list[str]) -> dict[
     """For each learnt one-byte transformation and character: the share of texts in which the character is garbled.
 
     Garbled ones are counted over words with twins, clean ones over the most frequent
-    spelling of each pattern.  Characters are those of the codecs, so the result has a
+    spelling of each pattern, unless that is itself a garbled one.  Characters are those of the codecs, so the result has a
     few thousand entries at most.
     """
     known = codecs_seen.transformations()
@@ -128,11 +128,26 @@ def reliability(pairs: DataFrame, ranked: DataFrame, learnt: list[str]) -> dict[
     mine = F.filter(F.array_distinct(F.split("form", "")), lambda c: c.isin(sorted(chars))) if chars else F.array()
     bad = pairs.where(F.col("transform").isin(learnt)).where("n_clean >= n_garbled").select("transform", "pattern", F.col("garbled").alias("form"), F.col("n_garbled").alias("n"))
     bad = bad.select("transform", F.explode(mine).alias("char"), "n").groupBy("transform", "char").agg(F.sum("n").alias("n"))
-    good = ranked.where("form = lead").select(F.explode(mine).alias("char"), "n").groupBy("char").agg(F.sum("n").alias("n"))
+    leads = ranked.where("form = lead").join(_garbled_leads(pairs, learnt), ["pattern", "form"], "left_anti")
+    good = leads.select(F.explode(mine).alias("char"), "n").groupBy("char").agg(F.sum("n").alias("n"))
     fine = {r.char: r.n for r in good.collect()}
     return {(r.transform, r.char): r.n / (r.n + fine.get(r.char, 0)) for r in bad.collect()}
 
 
+def _garbled_leads(pairs: DataFrame, learnt: list[str]) -> DataFrame:
+    """``(pattern, form)`` of leading spellings that a learnt transformation makes of a rarer one.
+
+    A one-byte transformation tells nothing where another learnt one makes the rarer spelling of the leading one.
+    """
+    known = codecs_seen.transformations()
+    plain = F.col("transform").isin([n for n in learnt if known[n].direct])
+    behind = F.col("n_garbled") > F.col("n_clean")
+    told = pairs.where(F.col("transform").isin(learnt))
+    sides = told.select("pattern", F.when(behind, F.col("garbled")).otherwise(F.col("clean")).alias("form"), F.when(behind, F.col("clean")).otherwise(F.col("garbled")).alias("other"), behind.alias("behind"), plain.alias("plain"))
+    each = sides.groupBy("pattern", "form", "other").agg(F.max(F.col("behind") & F.col("plain")).alias("sure"), F.max("behind").alias("behind"), F.max(~F.col("behind")).alias("ahead"))
+    return each.where("sure OR behind AND NOT ahead").select("pattern", "form").distinct()
+
+
 def _judge(learnt: list[str], shares: dict[tuple[str, str], float], targets: frozenset[str]):
     """A function from spellings to those that are garbled: the first learnt transformation that undoes a spelling wholly."""
 
@@ -175,8 +190,9 @@ def garbled_spellings(documents: DataFrame, key: str = "doc_id") -> tuple[DataFr
     """
     stage = Stage(documents.sparkSession, "garbling")
     kind = dict(documents.dtypes)[key]
-    words = stage.write(documents.select(key, "text").mapInArrow(_words(key), f"{key} {kind}, pattern string, form string"), "words")
-    forms = words.groupBy("pattern", "form").agg(F.count("*").alias("n"))
+    words = stage.write(documents.select(key, "text", F.xxhash64("text").alias("_text")).mapInArrow(_words(key), f"{key} {kind}, _text bigint, pattern string, form string"), "words")
+    # a text counts once, however many copies there are: copies are dropped before the shuffle where they lie together
+    forms = words.select("pattern", "form", "_text").distinct().groupBy("pattern", "form").agg(F.count("*").alias("n"))
     # spellings of a pattern, not occurrences, share a partition; words without a letter to join on, as of
     # other scripts, have no twins and would all share one
     lettered = F.col("pattern").rlike("[A-Za-z]")
@@ -203,7 +219,7 @@ def garbled_spellings(documents: DataFrame, key: str = "doc_id") -> tuple[DataFr
     alone = ranked.join(by_twin, ["pattern", "form"], "left_anti").select("pattern", "form")
     by_rule = alone.mapInArrow(_judge(learnt, shares, targets), _VERDICT)
     both = by_twin.withColumn("twin", F.lit(True)).unionByName(by_rule.withColumn("twin", F.lit(False)))
-    return words, stage.write(both, "verdicts")
+    return words.drop("_text"), stage.write(both, "verdicts")
 
 
 def _hits(words: DataFrame, verdicts: DataFrame) -> DataFrame:

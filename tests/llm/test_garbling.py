@@ -60,6 +60,15 @@ def test_odd_texts_copies_and_empty_tables(spark):
     assert garbling.find_garbled(frame(spark, [(1, "bare ascii")])).count() == 0
 
 
+def test_copies_of_a_text_garbled_in_one_byte_hide_nothing(spark):
+    docs, truth = corpus()
+    garble = WAYS["latin1 as cp850"]
+    copied = [(7000 + k, garble(SENTENCES[0])) for k in range(1500)]
+    alone = [(9000, garble("Fløyelsmyke kjøttkaker"))]  # words that stand nowhere else
+    got = {r.doc_id for r in garbling.find_garbled(frame(spark, docs + copied + alone)).collect()}
+    assert got == set(truth) | {k for k, _ in copied + alone}
+
+
 def test_undoing_is_the_reverse_of_garbling():
     for name, t in codecs_seen.transformations().items():
         for word in ("søkjer", "Åpning", "lærling"):
