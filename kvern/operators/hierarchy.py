@@ -101,12 +101,13 @@ def _peel_once(state: DataFrame, level: int) -> DataFrame:
 
 
 def build_hierarchy(rows: DataFrame, child: str, parent: str, order: str) -> DataFrame:
-    """``(node, parent, root, depth, status, path, subtree_size)``, one row per node.
+    """``(node, parent, root, depth, status, path, subtree_size, chain)``, one row per node.
 
     ``status``: ``tree``; ``cycle`` for a node that is its own ancestor;
     ``below_cycle`` for one with an ancestor on a circle.  ``path`` runs from the
     root to the node.  For the latter two statuses root is ``''``, depth -1, the
-    path empty and, on a circle, the subtree size null.  An empty table gives no
+    path empty and, on a circle, the subtree size null.  ``chain`` runs from the node
+    on the circle to the node, and is null for a tree's nodes.  An empty table gives no
     rows; nulls, blanks and repeated rows are treated as ``current_links`` says;
     other columns are not read.  Runs jobs: peeling needs to know when it is done.
     """
@@ -141,6 +142,7 @@ def build_hierarchy(rows: DataFrame, child: str, parent: str, order: str) -> Dat
         F.lit("cycle").alias("status"),
         F.array().cast("array<string>").alias("path"),
         F.lit(None).cast("bigint").alias("subtree_size"),
+        F.array("node").alias("chain"),
     )
     done = ["circle"]
     like = stage.write(on_circle, "circle")
@@ -167,7 +169,7 @@ def _resolve(peeled: DataFrame, above: DataFrame) -> DataFrame:
             F.concat(F.coalesce("front", F.array().cast("array<string>")), "path").alias("path"),
         )
         reach *= 2
-    over = above.select(F.col("node").alias("top"), F.col("path").alias("front"), F.col("status").alias("over"))
+    over = above.select(F.col("node").alias("top"), F.col("path").alias("front"), F.col("status").alias("over"), F.col("chain").alias("upper"))
     joined = chain.join(over, "top", "left")
     tree = F.col("over").isNull() | (F.col("over") == "tree")
     path = F.concat(F.coalesce("front", F.array().cast("array<string>")), "path")
@@ -179,6 +181,7 @@ def _resolve(peeled: DataFrame, above: DataFrame) -> DataFrame:
         F.when(tree, "tree").otherwise("below_cycle").alias("status"),
         F.when(tree, path).otherwise(F.array().cast("array<string>")).alias("path"),
         F.col("size").alias("subtree_size"),
+        F.when(~tree, F.concat("upper", "path")).alias("chain"),
     )
 
 
@@ -191,3 +194,39 @@ def descendants(hierarchy: DataFrame) -> DataFrame:
     return pairs.where("ancestor <> descendant").select(
         "ancestor", "descendant", (F.col("depth") - F.col("pos")).cast("bigint").alias("distance")
     )
+
+
+def _circle_pairs(hierarchy: DataFrame) -> DataFrame:
+    """``(ancestor, descendant, distance)`` of the nodes of each circle, by doubling.  Runs jobs: a round per doubling of the longest circle."""
+    stage = Stage(hierarchy.sparkSession, "circles")
+    steps = stage.write(hierarchy.where("status = 'cycle'").select(F.col("parent").alias("ancestor"), F.col("node").alias("descendant"), F.lit(1).cast("bigint").alias("distance")), "steps")
+    pairs, known, reach = steps.where("ancestor <> descendant"), -1, 1
+    while True:
+        pairs = stage.write(pairs, f"pairs{reach}")
+        count = pairs.count()
+        if count == known:
+            return pairs
+        known = count
+        # steps lead ``reach`` up from every node, pairs at most as far
+        up = steps.select(F.col("descendant").alias("via"), F.col("ancestor"), F.col("distance").alias("more"))
+        further = pairs.withColumnRenamed("ancestor", "via").join(up, "via").select("ancestor", "descendant", (F.col("distance") + F.col("more")).alias("distance"))
+        jumps = steps.withColumnRenamed("ancestor", "via").join(up, "via").select("ancestor", "descendant", (F.col("distance") + F.col("more")).alias("distance"))
+        pairs = pairs.unionByName(further).where("ancestor <> descendant").groupBy("ancestor", "descendant").agg(F.min("distance").alias("distance"))
+        reach *= 2
+        steps = stage.write(jumps, f"steps{reach}")
+
+
+def all_descendants(hierarchy: DataFrame) -> DataFrame:
+    """``(ancestor, descendant, distance)``: as ``descendants``, with the nodes on and below circles too.
+
+    A node below a circle has the nodes between it and the circle above it and all
+    nodes of the circle, a node on a circle all others of it; a node is no row with itself.
+    """
+    below = hierarchy.where("status = 'below_cycle'")
+    last = F.size("chain") - 1
+    near = below.select(F.col("node").alias("descendant"), last.alias("last"), F.posexplode("chain").alias("pos", "ancestor")).where("pos < last")
+    near = near.select("ancestor", "descendant", (F.col("last") - F.col("pos")).cast("bigint").alias("distance"))
+    circle = _circle_pairs(hierarchy)
+    entries = below.select(F.col("node").alias("under"), F.col("chain")[0].alias("descendant"), last.alias("last"))
+    far = entries.join(circle, "descendant").select("ancestor", F.col("under").alias("descendant"), (F.col("distance") + F.col("last")).cast("bigint").alias("distance"))
+    return descendants(hierarchy).unionByName(near).unionByName(circle).unionByName(far)

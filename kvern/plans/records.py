@@ -20,6 +20,13 @@ def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.descendants(nodes)
 
 
+def p2_descendants_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``p2_descendants``, with the pairs of nodes on and below circles, which its SQL leaves out."""
+    links = spark.read.parquet(f"{folder}/group_links.parquet")
+    nodes = hierarchy.build_hierarchy(links, "organisasjonsnummer", "parentOrganisasjonsnummer", "received_at")
+    return hierarchy.all_descendants(nodes)
+
+
 def workplace_rows(spark: SparkSession, folder: str) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/subunit_pages.parquet")
     only = pages.select("record_id", F.struct(F.transform("_embedded.underenheter", _number_only).alias("underenheter")).alias("page"))
@@ -79,6 +86,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_descendants": p2_descendants,
+    "p2_descendants_whole": p2_descendants_whole,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p6_found": p6_found,

@@ -52,6 +52,32 @@ def test_random_forests_equal_a_walk(spark, seed):
     assert pairs == {(p[k], p[-1], len(p) - 1 - k) for s, p in expected.values() for k in range(len(p) - 1)}
 
 
+def walked(rows):
+    """All pairs, by a walk up from each node until it comes round."""
+    parent = {}
+    for child, up, _ in rows:
+        parent.setdefault(up, None)
+        parent[child] = up
+    out = set()
+    for node in parent:
+        at, seen, n = parent[node], {node}, 1
+        while at is not None and at not in seen:
+            out.add((at, node, n))
+            seen.add(at)
+            at, n = parent[at], n + 1
+    return out
+
+
+def test_nodes_on_and_below_circles_have_their_pairs(spark):
+    rnd = random.Random(5)
+    rows = [(f"c{k}", f"c{(k + 1) % 7}", 0) for k in range(7)] + [("d0", "d1", 0), ("d1", "d0", 0), ("s", "s", 0)]
+    rows += [(f"n{k}", rnd.choice(["c3", "d0", "s", "top", *(f"n{j}" for j in range(k))]), 0) for k in range(60)]
+    rows += [(f"deep{k}", f"deep{k - 1}" if k else "c1", 0) for k in range(20)]  # deeper than a batch
+    _, out = build(spark, rows)
+    got = [tuple(r) for r in hierarchy.all_descendants(out).select("ancestor", "descendant", "distance").collect()]
+    assert len(got) == len(set(got)) and set(got) == walked(rows)
+
+
 def test_a_chain_deeper_than_several_batches(spark):
     got, _ = build(spark, [(f"n{i}", f"n{i + 1}", 0) for i in range(30)])
     assert got["n0"].depth == 30 and got["n0"].root == "n30" and got["n30"].subtree_size == 31
