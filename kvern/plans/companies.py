@@ -162,6 +162,13 @@ def ask_topics(spark: SparkSession, folder: str) -> DataFrame:
     return asking.ask(_live(spark, folder), asked)
 
 
+def ask_topics_everyone(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``ask_topics``, whose SQL asks one company, for every company."""
+    live = _live(spark, folder)
+    asked = live.select("entity").distinct().select("entity", F.explode(F.array(*map(F.lit, QUESTIONS))).alias("question"))
+    return asking.ask(live, asked)
+
+
 def _one_entity(spark: SparkSession, folder: str) -> DataFrame:
     return _live(spark, folder).agg(F.min("entity").alias("entity"))
 
@@ -210,7 +217,7 @@ QUERIES = {name: _screened(question) for name, (question, _) in SCREENS.items()}
     f.__name__: f
     for f in (
         facts_unpivot, fact_ids, first_wins, org_checksum, whole_units, plain_amounts, latest_amount, latest_period, ratio_same_period, report_index,
-        report_totals, compare_three, ask_topics, ask_gaps, answers_standard, summary_brief, website_candidates, gate_rules,
+        report_totals, compare_three, ask_topics, ask_topics_everyone, ask_gaps, answers_standard, summary_brief, website_candidates, gate_rules,
     )
 }
 

@@ -20,11 +20,11 @@ VALUES = [
 ]
 
 
-def save(spark, folder, runs_of_claims):
-    """A folder of envelopes, one per run, with claims (id, field, family, key, value)."""
+def save(spark, folder, runs_of_claims, orgs=("1",)):
+    """A folder of envelopes, one per run and organisation, with claims (id, field, family, key, value)."""
     rows = [
-        ("1", (f"r{n}", DAY + dt.timedelta(days=n)), DAY + dt.timedelta(days=n), [(*c, "available", ["e"], None, DAY, False) for c in claims])
-        for n, claims in enumerate(runs_of_claims)
+        (org, (f"r{n}", DAY + dt.timedelta(days=n)), DAY + dt.timedelta(days=n), [(*c, "available", ["e"], None, DAY, False) for c in claims])
+        for n, claims in enumerate(runs_of_claims) for org in orgs
     ]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/envelopes.parquet")
     return str(folder)
