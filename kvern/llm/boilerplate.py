@@ -1,16 +1,24 @@
 """The main body of web pages, by differencing pages of near URLs within a host.
 
-Pages stand in the order of host and URL path.  A page is compared with the pages
-before and after it on its host: their lines are aligned by longest common
-subsequence, and what lies outside the page's own body and is shared is deleted.
-Line forms that are shared at the edges of pages on several hosts make a table of
-known page furniture, by which pages that have no neighbour, and lines that a page
-has by chance alone, are judged.  Teasers, breadcrumbs and share lines differ from
-page to page, so no difference shows them; they are told by their form.
-
-A host may hold a third of all pages.  The order is cut into blocks of consecutive
-pages by a global row number, each with the pages next to it as context, so no host
-is ever one task.
+Pages stand in the order of host and URL path.  A page is compared with the nearest
+different pages before and after it on its host: their lines are aligned by longest
+common subsequence, and lines that its neighbours share are deleted.
+
+A difference alone errs where two pages share a line by chance, and says nothing of
+a host's only page or of a line that differs from page to page (a teaser, a menu in
+other letters).  So what the differences show on all hosts is counted by the form of
+a line: how often lines of a form lie inside a body, that is between the page's
+heading and its last sentence that no neighbour shares.  A form that hardly ever
+does is furniture wherever it stands; one that often does is content, shared or not.
+Forms of headings are titles: a title with a date or an ellipsis, after a label that
+mostly introduces titles or menu lines, or behind the body, points to another page.  No list of
+words is given; all of it comes from the pages.
+
+Texts are read once, where they lie.  Only hashes of lines and of their forms are
+sorted and compared, and a page's decision is a byte per line.  A host may hold a
+third of all pages: the order is cut into blocks of consecutive pages by a global row
+number, each with the pages next to it as context.  Copies of a page count once in a
+block, so that a run of copies is no neighbour of itself.
 """
 
 from __future__ import annotations
@@ -18,50 +26,38 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvern.session import Stage
 
 BLOCK = 64  # pages differenced by one call
-NEAR = 2  # pages before and after with which a page is compared
-KNOWN_HOSTS = 3  # hosts on whose pages' edges a form of line must be shared
-KNOWN_SHARE = 0.5  # share of a form's lines that must be at the edges
-BROADCAST_ROWS = 200_000
-
-#: Lines by which pages offer to share, log in or search, and heads of lists of other pages.
-AFTER_BODY = """kopier lenke|publisert av webredaksjonen|del|del på facebook|skriv ut siden|skriv ut|tips en venn|del denne siden
-kommentarer er stengt|copy link|published by the web desk|share|share on facebook|print this page|print|tell a friend|share this page
-comments are closed|kategorier|mest lest|arkiv|siste nytt|relaterte produkter|les også|se også|categories|most read|archive|latest news
-related products|read also|see also"""
-TOOLS = r"""annonse|advertisement|sponset|søk|search|meny|menu|lukk meny|close menu|logg inn|log in|min side|my page
-handlekurv \(\d+\)|(shopping )?(cart|basket) \(\d+\)|hopp til (hoved)?innhold(et)?|skip to (main )?content|til toppen|back to top"""
-#: Footers, consent texts and notices about the site, as patterns of whole lines.
-FOOTERS = r"""facebook|instagram|linkedin|følg oss|follow us|meld deg på nyhetsbrevet vårt|subscribe to our newsletter
-personvern og vilkår|privacy and terms|org\.? ?nr\.? ?[\d ]+|reg\. no\. ?[\d ]+|(telefon|phone|tlf\.?): ?\+?[\d ]+|(e-post|mail|e-mail): ?\S+@\S+
-besøksadresse: .+|visit us: .+|(åpningstider|open): ?(man|mon).+|sideansvarlig: .+|site editor: .+|levert av .+|site by .+|©.*
-alt innhold på siden er vernet\. .+|nothing on this site may be reprinted .+
-(godta|avvis) alle|(accept|reject) all|tilpass valg|manage choices|lagre innstillinger og lukk|save settings and close
-nødvendige *\|.+|necessary *\|.+|nettstedet trenger javascript .+|please enable javascript .+|denne nettsiden lagrer små filer .+|this site stores small files .+
-vi bruker informasjonskapsler .+|we use cookies .+|we value your privacy\. .+|ved å fortsette godtar du at .+|by continuing you accept that .+"""
-
-
-def _any(patterns: str) -> re.Pattern:
-    return re.compile("|".join(f"(?:{p})" for row in patterns.splitlines() for p in [row]), re.IGNORECASE)
-
-
-_AFTER, _TOOLS, _FOOTERS = map(_any, (AFTER_BODY, TOOLS, FOOTERS))
-_ABOUT = re.compile(r" (?:og har gjort det siden|and has done so since) \d{4}\.$", re.IGNORECASE)
-_TEASER = re.compile(r"(les også|se også|anbefalt|read also|see also|recommended): .+", re.IGNORECASE)
-_DATED = re.compile(r"\S \(\d{1,2}\.\d{1,2}\.\d{4}\)$")
-_CUT = re.compile(r"(?:\.\.\.|…|les mer(?: »)?|read more(?: »)?)$", re.IGNORECASE)
-_BULLET = re.compile(r"[>•\-–*]\s+\S.{0,30}|\[[^\]]{1,30}\]")
+NEAR = 2  # different pages before and after with which a page is compared
+HOSTS = 3  # hosts on which a form must have been seen to tell anything
+FURNITURE, CONTENT = 0.2, 0.3  # shares of a form's lines inside bodies, up to and from which it is furniture or content
+PART_FURNITURE = 0.1  # the same for a part of a form: its label or its last words
+BROADCAST_BYTES = 48 << 20  # size up to which the table of forms goes to every worker; beyond it, it is joined
+SLICE = 1000  # pages taken apart at a time
+
+PROSE, DATED, TOLD, BLANK = 1, 2, 4, 8  # bits of a line's shape
+IS_FURNITURE, IS_CONTENT, IS_TITLE, IS_POINTER = 1, 2, 4, 8  # bits of what is known of a form
+
+_DATED = re.compile(r"\s*\(\d{1,2}[./]\d{1,2}[./]\d{4}\)$")
 _CRUMB = re.compile(r"\s+[»>/›]\s+")
+_MARKS = re.compile(r"^[^\w(©]+")
+_DIGITS = re.compile(r"\d+")
+_NAME = re.compile(r"(?<!^)\b[A-ZÆØÅÄÖ][\w\-]*")
+_ADDRESS = re.compile(r"\S+\.\w{2,8}")
+_SAYS = re.compile(r"[.!?]$|:\s|,\s|\d")
+_YEAR = re.compile(r"[^:,]*\d{4}")
+KINDS = ("whole", "named", "label", "end", "tail")  # parts of a form, the most telling first
 
 
 def host_of(url: str | None, site: str | None) -> str:
@@ -69,25 +65,65 @@ def host_of(url: str | None, site: str | None) -> str:
     return m.group(1) if m else (site or "").lower()
 
 
-@lru_cache(maxsize=20_000)
-def form_of(line: str) -> str:
-    """A line without what differs from host to host: digits and names masked, bullets and case gone."""
-    bare = re.sub(r"^[\s>•\-–*\[]+|[\s\]]+$", "", line[:160])
-    named = re.sub(r"(?<!^)\b[A-ZÆØÅÄÖ][\wæøåäö\-]*", "@", re.sub(r"\d+", "#", bare))
-    named = re.sub(r"\S+\.(?:example|test|invalid|no|com|org|net)\b", "@", named)
-    return " ".join(named.split()).lower()[:120]
+def path_of(url: str | None) -> str:
+    return re.sub(r"^(?:[a-zA-Z]+:)?//[^/?#]*", "", url or "").split("?")[0].split("#")[0]
+
+
+def form_of(line: str) -> tuple[str, str]:
+    """A line without what differs from host to host: digits masked and case gone; and so with names masked too."""
+    bare = _DIGITS.sub("#", line if line[:1].isalnum() else _MARKS.sub("", line) or line)
+    named = _NAME.sub("@", bare)
+    front, gap, last = named.rpartition(" ")
+    if "." in last[:-1] and _ADDRESS.fullmatch(last):
+        named = f"{front}{gap}@"
+    return bare.lower(), named.lower()
+
+
+def stem_of(line: str) -> str:
+    """A line without a date in brackets or an ellipsis at its end."""
+    if line.endswith(("...", "…")):
+        return line.rstrip(".… ")
+    return _DATED.sub("", line) if line.endswith(")") else line
+
+
+def parts_of(line: str) -> tuple[dict[str, str], str, str]:
+    """The parts of a line's form; the named form without a date or ellipsis at the end; that of what a label introduces."""
+    whole, named = form_of(line)
+    parts = {"whole": whole, "named": named}
+    words = named.split()
+    front, mark, back = line.partition(": ")
+    label = mark and 2 <= len(front) <= 40 and back and ":" not in front
+    if label:
+        parts["label"] = form_of(front)[0]
+    if len(words) > 5:
+        parts["end"] = " ".join(words[-4:])
+    if len(words) > 3:
+        parts["tail"] = " ".join(words[-2:])
+    stem = stem_of(line)
+    return parts, named if stem == line else form_of(stem)[1], form_of(back)[1] if label else ""
+
+
+def shape_of(line: str) -> int:
+    """Bits: a sentence, cut off or dated, says something itself (and so is no title of another page), blank."""
+    if not line:
+        return BLANK
+    says = len(line) > 60 or bool(_SAYS.search(line)) and not _YEAR.fullmatch(line)
+    return (PROSE if len(line) > 40 and line[-1] in ".!?" else 0) | (DATED if stem_of(line) != line else 0) | (TOLD if says else 0)
+
+
+def _hash(kind: str, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{kind} {text}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-@lru_cache(maxsize=20_000)
 def _slug(text: str) -> str:
     plain = text.lower().replace("æ", "ae").replace("ø", "o").replace("å", "a")
     plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c))
     return re.sub(r"[^a-z0-9]+", "-", plain).strip("-")
 
 
-def common_lines(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
+def common_lines(a: list, b: list) -> tuple[set[int], set[int]]:
     """Positions in each of a longest common subsequence, by the pairs of equal lines (Hunt and Szymanski)."""
-    places: dict[str, list[int]] = defaultdict(list)
+    places: dict[object, list[int]] = defaultdict(list)
     for j, line in enumerate(b):
         places[line].append(j)
     ends: list[int] = []
@@ -105,188 +141,296 @@ def common_lines(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
     return left, right
 
 
-def heading(lines: list[str], title: str | None, url: str | None) -> int | None:
-    """Where the page's own heading stands: by the title, the URL's last step, or the last step of a breadcrumb."""
-    wanted = re.split(r"\s+[|]\s+", title)[0].strip().lower() if title else ""
-    path = re.sub(r"^(?:[a-z]+:)?//[^/]*", "", url or "").split("?")[0].split("#")[0].rstrip("/")
-    slug = _slug(path.rsplit("/", 1)[-1]) if path else ""
+def heading(lines: list[str], title: str | None, url: str | None) -> int:
+    """Where the page's own heading stands: by the title, the URL's last step, or the last step of a breadcrumb; -1 if nowhere."""
+    wanted = " ".join(re.split(r"\s+[|]\s+", title)[0].split()).lower() if title else ""
+    slug = _slug(path_of(url).rstrip("/").rsplit("/", 1)[-1])
     if wanted:
         for i, line in enumerate(lines):
-            if line.lower() == wanted:
+            if len(line) == len(wanted) and line.lower() == wanted:
                 return i
     if slug:
         for i, line in enumerate(lines):
-            if _slug(line) == slug:
+            if len(line) <= 2 * len(slug) and _slug(line) == slug:
                 return i
     for i, line in enumerate(lines[:-1]):
-        steps = _CRUMB.split(line)
-        if len(steps) > 1 and steps[-1].strip().lower() == lines[i + 1].lower():
+        if lines[i + 1] and line.lower().endswith(lines[i + 1].lower()) and len(steps := _CRUMB.split(line)) > 1 and steps[-1].lower() == lines[i + 1].lower():
             return i + 1
-    return None
-
-
-@lru_cache(maxsize=20_000)
-def furniture(line: str, known: bool) -> bool:
-    """Whether a line by its form alone is a menu, tool, share, consent or footer line, or points to another page."""
-    if not line or known:
-        return True
-    end = line[-60:]  # the ends of long lines are looked at alone
-    if _FOOTERS.fullmatch(line) or _TEASER.fullmatch(line) or _DATED.search(end) or _CUT.search(end) or _ABOUT.search(end):
-        return True
-    if len(line) < 60 and (_AFTER.fullmatch(line) or _TOOLS.fullmatch(line) or _BULLET.fullmatch(line)):
-        return True
-    steps = _CRUMB.split(line)
-    if len(steps) > 1 and re.fullmatch(r"(hjem|home|forside)", steps[0].strip(), re.IGNORECASE):
-        return True
-    bars = line.split("|")
-    return len(bars) > 2 and max(map(len, bars)) < 40
-
-
-@lru_cache(maxsize=20_000)
-def _told(line: str) -> bool:
-    """A line that says something itself and so is no title of another page."""
-    return len(line) > 60 or bool(re.search(r"[.!?]$", line)) or bool(re.search(r":\s|,\s|\d", line)) and not re.search(r"\d{4}$", line)
-
-
-def main_lines(
-    lines: list[str], shared: list[float], known: list[bool], titles: list[bool], title: str | None, url: str | None
-) -> list[int]:
-    """Positions of the main content.
-
-    ``shared`` is the part of the neighbours that share a line, ``known`` marks lines
-    of known furniture, ``titles`` lines that look like headings of pages.  The body begins at
-    the page's heading, or at the first line that is neither furniture nor shared,
-    and ends before the first share line or list of other pages that nothing but
-    titles and footers follows.  Shared lines are deleted outside the body only: a
-    contact or price line may well be on many pages.
+    return -1
+
+
+def described(description: str | None, lines: list[str], head: int) -> tuple[list[int], list[int], list[int]]:
+    """A description's sentences: their lengths, and pairs of a sentence's and a line's number where the line holds it.
+
+    A heading with a colon before the text is left out; the last sentence may be cut off.
     """
-    lines = [" ".join((x or "").split()) for x in lines]
-    odd = [furniture(x, k) for x, k in zip(lines, known, strict=True)]
-    edge = [o or s > 0.5 for o, s in zip(odd, shared, strict=True)]
-    told = [not t and _told(x) for x, t in zip(lines, titles, strict=True)]
-    start = heading(lines, title, url)
-    if start is None:
-        start = next((i for i, e in enumerate(edge) if not e), len(lines))
-    own = {start}
-    end = len(lines)
-    while end > start + 1 and edge[end - 1]:
-        end -= 1
-    # what the edge took from the body by chance: lines that are shared but of no furniture's form, right after the body
-    while end < len(lines) and not odd[end] and told[end]:
-        end += 1
-    for i in range(start + 1, end):
-        tail = _AFTER.fullmatch(lines[i]) or _TOOLS.fullmatch(lines[i])
-        if tail and not any(t and not o for t, o in zip(told[i + 1 : end], odd[i + 1 : end], strict=True)):
-            end = i
-            break
-    # titles that stand among dated or cut ones at the end are teasers as these
-    back = end
-    while back > start + 1 and (not told[back - 1] or odd[back - 1]):
-        back -= 1
-    first = next((i for i in range(back, end) if _DATED.search(lines[i]) or _CUT.search(lines[i])), None)
-    if first is not None:
-        end = first
-    return [i for i in range(start, end) if i in own or not odd[i]]
-
-
-def about_this_page(description: str | None, lines: list[str], main: list[int]) -> bool:
-    """Whether a description repeats what the main lines say: most of its sentences, the last one perhaps cut off."""
-    if not description or not description.strip() or not main:
-        return False
-    plain = lambda s: " ".join(s.split()).lower()
-    body = " ".join(plain(lines[i]) for i in main if lines[i])
-    text = re.sub(r"\s*(\.\.\.|…)$", "", plain(description))
-    head = plain(lines[main[0]] or "")
-    if head and text.startswith(head + ":"):
-        text = text[len(head) + 1 :].strip()
+    text = re.sub(r"\s*(\.\.\.|…)$", "", " ".join((description or "").split()).lower())
+    if not text:
+        return [], [], []
+    if head >= 0 and lines[head] and text.startswith(lines[head].lower() + ":"):
+        text = text[len(lines[head]) + 1 :].strip()
     parts = [p for p in re.split(r"(?<=[.!?])\s+", text) if p]
-    held = sum(len(p) for p in parts if p in body)
-    return held >= 0.5 * sum(map(len, parts)) if parts else False
+    low = [x.lower() for x in lines]
+    held = [(k, i) for k, p in enumerate(parts) for i, line in enumerate(low) if p in line]
+    return [len(p) for p in parts], [k for k, _ in held], [i for _, i in held]
 
 
-def _ordered(pages: DataFrame, stage: Stage) -> DataFrame:
-    """Pages with ``row``, their place in the order of host, path, URL and number.
+_LINES = ", ".join(f"{k} array<bigint>" for k in ("line", *KINDS, "stem", "rest")) + ", shape binary"
+
+
+def _take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes and shapes of each page's lines.  A slice's equal lines are worked on once."""
+    columns = ("line", *KINDS, "stem", "rest")
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            page_id, url, site, title, description, texts = part.columns
+            coded = texts.flatten().cast(pa.string()).dictionary_encode(null_encoding="encode")
+            plain, facts, shapes = [], np.zeros((len(columns), len(coded.dictionary)), np.int64), np.zeros(len(coded.dictionary), np.uint8)
+            for k, raw in enumerate(coded.dictionary):
+                line = " ".join((raw.as_py() or "").split())
+                plain.append(line)
+                shapes[k] = shape_of(line)
+                facts[0, k] = _hash("line", line)
+                if line:
+                    parts, stem, rest = parts_of(line)
+                    for c, kind in enumerate(KINDS, 1):
+                        if kind in parts and not (kind == "named" and parts["whole"] == parts["named"]):
+                            facts[c, k] = _hash("form" if c < 3 else kind, parts[kind])
+                    facts[-2, k] = _hash("form", stem)
+                    facts[-1, k] = _hash("form", rest) if rest else 0
+            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(coded) else np.empty(0, np.int64)
+            bounds = np.concatenate([[0], np.cumsum(texts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+            flat = shapes[codes].tobytes()
+            out = defaultdict(list)
+            for k in range(part.num_rows):
+                mine = codes[bounds[k] : bounds[k + 1]]
+                lines = [plain[c] for c in mine]
+                host, address = host_of(url[k].as_py(), site[k].as_py()), url[k].as_py()
+                head = heading(lines, title[k].as_py(), address)
+                lengths, sentences, places = described(description[k].as_py(), lines, head)
+                same = xxhash.xxh3_128_digest(host.encode("utf-8", "surrogatepass") + b"\0" + facts[0, mine].tobytes())
+                row = (host, path_of(address), same, head, lengths, sentences, places, flat[bounds[k] : bounds[k + 1]])
+                for name, value in zip(("host", "path", "same", "head", "lengths", "sentences", "places", "shape"), row, strict=True):
+                    out[name].append(value)
+            lists = {c: pa.ListArray.from_arrays(pa.array(bounds), pa.array(facts[i, codes])) for i, c in enumerate(columns)}
+            ints = pa.list_(pa.int32())
+            kinds = {"host": pa.string(), "path": pa.string(), "same": pa.binary(), "head": pa.int32(), "lengths": ints, "sentences": ints, "places": ints, "shape": pa.binary()}
+            made = {n: pa.array(out[n], t) for n, t in kinds.items()}
+            names = ["host", "path", "same", "head", "lengths", "sentences", "places", *columns, "shape"]
+            yield pa.RecordBatch.from_arrays([page_id, *[(made | lists)[n] for n in names]], names=["page_id", *names])
+
+
+def _ordered(taken: DataFrame, stage: Stage) -> DataFrame:
+    """Pages' hashes with ``row``, their place in the order of host, path, lines and number.
 
     The order is total, so rows and blocks are the same however the sort was cut.
     Per-partition counts come to the driver: one number per partition.
     """
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[A-Za-z]+:)?//(?:[Ww]{3}\.)?([^/?#]+)", 1), F.col("site"), F.lit("")))
-    path = F.coalesce(F.regexp_extract("url", r"^(?:[A-Za-z]+:)?//[^/?#]+([^?#]*)", 1), F.lit(""))
-    rows = pages.select("page_id", "url", "site", "title", "description", "lines", host.alias("host"), path.alias("path"))
-    order = ["host", "path", "url", "page_id"]
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = ["host", "path", "same", "page_id"]
+    rows = taken.select("page_id", "host", "path", "same", "head", "line", *KINDS, "stem", "rest", "shape")
     at = F.monotonically_increasing_id()
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("page_id", "path")
     written = stage.write(sorted_rows.withColumn("part", F.shiftright(at, 33)).withColumn("place", at.bitwiseAND((1 << 33) - 1)), "ordered")
     before, offsets = 0, []
     for part, count in sorted((r.part, r["count"]) for r in written.groupBy("part").count().collect()):
         offsets.append((part, before))
         before += count
-    starts = pages.sparkSession.createDataFrame(offsets, "part bigint, start bigint")
+    starts = taken.sparkSession.createDataFrame(offsets, "part bigint, start bigint")
     return written.join(F.broadcast(starts), "part").withColumn("row", F.col("start") + F.col("place")).drop("part", "place", "start")
 
 
+_COUNTS = ("forms", "lines_of", "inside_of", "label_forms", "rest_forms", "rest_lines")
+_DIFFERENCED = f"same binary, host string, seen int, shared binary, head int, heads bigint, {_LINES}, " + ", ".join(f"{c} array<bigint>" for c in _COUNTS)
+
+
+def inside(shared: np.ndarray, shape: np.ndarray, head: int) -> tuple[int, int]:
+    """A page's body as the differences alone show it: from its heading, or the first line of its own, to its last sentence of its own."""
+    own = ~shared & ((shape & BLANK) == 0)
+    start = head if head >= 0 else int(np.argmax(own)) if own.any() else len(shape)
+    told = np.flatnonzero(own & ((shape & PROSE) > 0))
+    return start, int(told[-1]) if len(told) and told[-1] > start else start
+
+
 def _difference(group: pa.Table) -> pa.Table:
-    """A block's pages with, for each line, the part of its neighbours that share it."""
-    rows = sorted(group.to_pylist(), key=lambda r: r["row"])
-    texts = [[x or "" for x in r["lines"] or []] for r in rows]
-    votes = [[0] * len(t) for t in texts]
-    seen = [0] * len(rows)
-    for i in range(len(rows)):
-        for j in range(i + 1, min(len(rows), i + NEAR + 1)):
-            if rows[j]["row"] - rows[i]["row"] > NEAR or rows[i]["host"] != rows[j]["host"]:
+    """A block's different pages, each once, with the lines that most of their neighbours share, and counts of forms per host.
+
+    A host's counts stand in its first row; pages without neighbours don't count.
+    """
+    group = group.sort_by("row").combine_chunks()
+    value = {c: group[c].combine_chunks() for c in group.column_names}
+    host, same = value["host"].to_pylist(), value["same"].to_pylist()
+    mine = value["mine"].to_pylist()
+    first: dict[bytes, int] = {}
+    owned: set[bytes] = set()
+    for k, s in enumerate(same):
+        first.setdefault(s, k)
+        if mine[k]:
+            owned.add(s)
+    pages = sorted(first.values())
+    rows = {c: [value[c][k].values.to_numpy() for k in pages] for c in ("line", *KINDS, "stem", "rest")}
+    shapes = [np.frombuffer(value["shape"][k].as_py(), np.uint8) for k in pages]
+    heads = [value["head"][k].as_py() for k in pages]
+    texts = [x.tolist() for x in rows["line"]]
+    votes, seen = [np.zeros(len(t), np.int32) for t in texts], [0] * len(pages)
+    for i, at in enumerate(pages):
+        for j in range(i + 1, min(len(pages), i + NEAR + 1)):
+            if host[at] != host[pages[j]]:
                 break
-            if not rows[i]["mine"] and not rows[j]["mine"] or texts[i] == texts[j]:
-                continue  # a copy of the page tells nothing
             left, right = common_lines(texts[i], texts[j])
             for k, places in ((i, left), (j, right)):
                 seen[k] += 1
-                for p in places:
-                    votes[k][p] += 1
+                votes[k][list(places)] += 1
     out = defaultdict(list)
-    for r, t, v, n in zip(rows, texts, votes, seen, strict=True):
-        if not r["mine"]:
+    counts: dict[str, tuple[Counter, Counter, Counter]] = {}
+    for i, at in enumerate(pages):
+        if same[at] not in owned:
             continue
-        shared = [x / n if n else 0.0 for x in v]
-        start = heading([x.strip() for x in t], r["title"], r["url"])
-        last = max((i for i, x in enumerate(t) if shared[i] <= 0.5 and not furniture(x.strip(), False)), default=-1)
-        for name, value in (
-            ("page_id", r["page_id"]), ("host", r["host"]), ("url", r["url"]), ("title", r["title"]), ("description", r["description"]),
-            ("lines", t), ("shared", shared), ("forms", [form_of(x) for x in t]), ("head", None if start is None else form_of(t[start])),
-            ("edge", [s > 0.5 and (start is not None and i < start or i > last) for i, s in enumerate(shared)]),
-        ):
-            out[name].append(value)
-    names = ["page_id", "host", "url", "title", "description", "lines", "shared", "forms", "head", "edge"]
-    kinds = [group.schema.field("page_id").type, *[pa.string()] * 4, pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.string()), pa.string(), pa.list_(pa.bool_())]
-    return pa.table([pa.array(out[n], k) for n, k in zip(names, kinds, strict=True)], names=names)
+        shared = votes[i] * 2 > seen[i]
+        start, last = inside(shared, shapes[i], heads[i])
+        new = host[at] not in counts
+        lines, within, labels = counts.setdefault(host[at], (Counter(), Counter(), Counter()))
+        head_form = int(rows["stem"][i][start]) if 0 <= start < len(shared) else 0
+        if seen[i]:
+            others = (shapes[i] & BLANK) == 0
+            others[start : start + 1] = False
+            body = others.copy()
+            body[:start] = False
+            body[last:] = False
+            for kind in KINDS:
+                forms = rows[kind][i]
+                lines.update(forms[others & (forms != 0)].tolist())
+                within.update(forms[body & (forms != 0)].tolist())
+        for k in np.flatnonzero(rows["label"][i]):
+            labels[int(rows["label"][i][k]), int(rows["rest"][i][k])] += 1
+        row = {"same": same[at], "host": host[at], "seen": seen[i], "shared": shared.astype(np.uint8).tobytes(), "head": heads[i], "heads": head_form, "shape": shapes[i].tobytes()}
+        row |= {c: rows[c][i] for c in rows} | {c: (host[at] if new else None) for c in _COUNTS}
+        for name, x in row.items():
+            out[name].append(x)
+    for c, pick in (
+        ("forms", lambda a, b, d: list(a)), ("lines_of", lambda a, b, d: list(a.values())), ("inside_of", lambda a, b, d: [b[k] for k in a]),
+        ("label_forms", lambda a, b, d: [k[0] for k in d]), ("rest_forms", lambda a, b, d: [k[1] for k in d]), ("rest_lines", lambda a, b, d: list(d.values())),
+    ):
+        out[c] = [None if h is None else pick(*counts[h]) for h in out[c]]
+    return pa.table({n: pa.array(out[n], _arrow(k)) for n, k in (f.split(" ", 1) for f in _DIFFERENCED.split(", "))})
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"binary": pa.binary(), "string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64())}[kind]
 
 
 def known_forms(differenced: DataFrame) -> DataFrame:
-    """``(form, furniture)``: what is known of forms of lines.
+    """``(form, known)``: bits of what all hosts together tell of a form; forms that nothing is known of are left out.
 
-    Furniture are forms that pages of several hosts share at their edges, where they
-    mostly stand; titles are forms of headings of pages of several hosts.
+    A host counts once as a host, whatever its size.  Counts are smoothed, so that a few lines prove nothing.
+    """
+    zipped = F.explode(F.arrays_zip("forms", "lines_of", "inside_of")).alias("x")
+    each = differenced.where("forms IS NOT NULL").select("host", zipped).select("host", F.col("x.forms").alias("form"), F.col("x.lines_of").alias("lines"), F.col("x.inside_of").alias("inside"))
+    per_host = each.groupBy("form", "host").agg(F.sum("lines").alias("lines"), F.sum("inside").alias("inside"))
+    by_form = per_host.groupBy("form").agg(F.count("*").alias("hosts"), F.sum("lines").alias("lines"), F.sum("inside").alias("inside"))
+    wide = by_form.where(F.col("hosts") >= HOSTS)
+    whole = (F.col("inside") + 2) / (F.col("lines") + 4) <= FURNITURE
+    part = (F.col("inside") + 0.5) / (F.col("lines") + 5) <= PART_FURNITURE
+    content = (F.col("lines") >= 4) & (F.col("inside") >= CONTENT * F.col("lines"))
+    # bit 1 of a whole form and of a part have different bounds; a part's own bit is 16
+    shares = wide.select("form", (F.when(whole, IS_FURNITURE).otherwise(0) + F.when(part & (F.col("lines") >= 8), 16).otherwise(0) + F.when(content, IS_CONTENT).otherwise(0)).alias("bits")).where("bits > 0")
+    heads = differenced.where("heads <> 0").select(F.col("heads").alias("form"), "host").distinct().groupBy("form").agg(F.count("*").alias("n"))
+    titles = heads.where(F.col("n") >= 2).select("form")
+    pairs = differenced.where("label_forms IS NOT NULL").select("host", F.explode(F.arrays_zip("label_forms", "rest_forms", "rest_lines")).alias("x"))
+    labels = pairs.groupBy(F.col("x.label_forms").alias("label"), F.col("x.rest_forms").alias("form"), "host").agg(F.sum("x.rest_lines").alias("n"))
+    links = titles.unionByName(shares.where(F.col("bits").bitwiseAND(IS_FURNITURE) > 0).select("form")).distinct()  # titles, and lines of menus
+    hits = labels.join(links.withColumn("hit", F.lit(True)), "form", "left").groupBy("label", "host").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("hits"))
+    pointers = hits.groupBy("label").agg(F.count("*").alias("hosts"), F.sum("n").alias("n"), F.sum("hits").alias("hits")).where((F.col("hosts") >= HOSTS) & (2 * F.col("hits") >= F.col("n")))
+    every = shares.unionByName(titles.select("form", F.lit(IS_TITLE).alias("bits"))).unionByName(pointers.select(F.col("label").alias("form"), F.lit(IS_POINTER).alias("bits")))
+    return every.groupBy("form").agg(F.sum("bits").cast("int").alias("known"))
+
+
+def _look_up(forms: np.ndarray, known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(forms) or not len(wanted):
+        return np.zeros(len(wanted), np.int32)
+    at = np.minimum(np.searchsorted(forms, wanted), len(forms) - 1)
+    return np.where(forms[at] == wanted, known[at], 0)
+
+
+def classes(rows: dict[str, np.ndarray], shared: np.ndarray, shape: np.ndarray, forms: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """A byte per line: furniture, content, title and pointer bits, and the shape's dated and told bits above them.
+
+    The most telling part of a form that is known decides; where nothing is known, the differences do.
+    """
+    bits = {k: _look_up(forms, known, rows[k]) for k in (*KINDS, "stem")}
+    furniture, decided = np.zeros(len(shape), bool), np.zeros(len(shape), bool)
+    for kind in KINDS:
+        b = bits[kind]
+        there = (rows[kind] != 0) & ~decided
+        out = there & ((b & (IS_FURNITURE if kind in ("whole", "named") else 16)) > 0)
+        kept = there & ~out & ((b & IS_CONTENT) > 0)
+        if kind != "whole":
+            kept &= ~shared  # the very line is shared: that another one of its form is content doesn't save it
+        furniture |= out
+        decided |= out | kept
+    furniture |= ~decided & shared
+    furniture |= (shape & BLANK) > 0
+    pointer = (bits["label"] & IS_POINTER) > 0
+    title = ((bits["stem"] & IS_TITLE) > 0) & ~pointer
+    return (furniture * IS_FURNITURE | title * IS_TITLE | pointer * IS_POINTER | ((shape & DATED) > 0) * 16 | ((shape & TOLD) > 0) * 32).astype(np.uint8)
+
+
+def _classify(batches: Iterator[pa.RecordBatch], table=None) -> Iterator[pa.RecordBatch]:
+    """``(same, seen, classes)``; the forms come from ``table``, or as a page's own lists where it is none."""
+    for batch in batches:
+        found = []
+        columns = {c: batch.column(c) for c in batch.schema.names}
+        for k in range(batch.num_rows):
+            rows = {c: columns[c][k].values.to_numpy() for c in (*KINDS, "stem")}
+            shared, shape = (np.frombuffer(columns[c][k].as_py(), np.uint8) for c in ("shared", "shape"))
+            if table is None:
+                pairs = columns["known"][k].as_py() or []
+                forms, known = (np.array([p[c] for p in pairs], t) for c, t in (("form", np.int64), ("known", np.int32)))
+                order = np.argsort(forms)
+                forms, known = forms[order], known[order]
+            else:
+                forms, known = table.value
+            found.append(classes(rows, shared > 0, shape, forms, known).tobytes())
+        yield pa.RecordBatch.from_arrays([columns["same"], columns["seen"], pa.array(found, pa.binary())], names=["same", "seen", "classes"])
+
+
+def main_lines(known: np.ndarray, head: int) -> list[int]:
+    """Positions of the main content, from the classes of a page's lines.
+
+    The body begins at the page's heading, or at the first line that is no furniture,
+    and ends behind the last line that says something and is neither furniture nor
+    points elsewhere; bare titles right behind it are its own as long as no furniture
+    or dated title stands before them.  Inside it, furniture and pointers are deleted.
     """
-    each = differenced.select("host", F.explode(F.arrays_zip("forms", "edge")).alias("x")).select("host", F.col("x.forms").alias("form"), F.col("x.edge").alias("edge"))
-    per_host = each.groupBy("form", "host").agg(F.count("*").alias("n"), F.count_if("edge").alias("at_edge"))  # a host counts once, whatever its size
-    by_form = per_host.groupBy("form").agg(F.count_if(F.col("at_edge") > 0).alias("hosts"), F.sum("n").alias("n"), F.sum("at_edge").alias("at_edge"))
-    common = by_form.where((F.col("hosts") >= KNOWN_HOSTS) & (F.col("at_edge") >= KNOWN_SHARE * F.col("n")) & (F.col("form") != ""))
-    heads = differenced.where("head IS NOT NULL").select(F.col("head").alias("form"), "host").distinct().groupBy("form").count()
-    titles = heads.where(F.col("count") >= KNOWN_HOSTS)
-    return common.select("form", F.lit(True).alias("furniture")).unionByName(titles.select("form", F.lit(False).alias("furniture")))
+    furniture, title, pointer, dated, told = ((known & bit) > 0 for bit in (IS_FURNITURE, IS_TITLE, IS_POINTER, 16, 32))
+    own = (title | ~furniture) & ~pointer & ~dated
+    start = head if head >= 0 else int(np.argmax(own)) if own.any() else len(known)
+    firm = ~(furniture | pointer | title | dated | ~told)
+    hard = dated | furniture & ~title & ~pointer
+    last = np.flatnonzero(firm[start + 1 :])
+    end = start + 2 + int(last[-1]) if len(last) else start + 1
+    while end < len(known) and not hard[end]:
+        end += 1
+    return [i for i in range(start, min(end, len(known))) if i == start or own[i]]
+
+
+def about_this_page(lengths: list[int], sentences: list[int], places: list[int], main: list[int]) -> bool:
+    """Whether the main lines say what the description does: half of it at least."""
+    body = set(main)
+    held = {k for k, i in zip(sentences, places, strict=True) if i in body}
+    return bool(held) and 2 * sum(lengths[k] for k in held) >= sum(lengths)
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pages, positions = [], []
-        for k, r in enumerate(batch.to_pylist()):
-            titles = {x["form"] for x in r["known"] or () if not x["furniture"]}
-            known = {x["form"] for x in r["known"] or () if x["furniture"]} - titles
-            flags = [[f in which for f in r["forms"]] for which in (known, titles)]
-            main = main_lines(r["lines"], r["shared"], *flags, r["title"], r["url"])
-            found = ([-1] if about_this_page(r["description"], r["lines"], main) else []) + main
+        head, lengths, sentences, places, known = (batch.column(c).to_pylist() for c in ("head", "lengths", "sentences", "places", "classes"))
+        for k in range(batch.num_rows):
+            main = main_lines(np.frombuffer(known[k], np.uint8), head[k])
+            found = ([-1] if about_this_page(lengths[k], sentences[k], places[k], main) else []) + main
             pages += [k] * len(found)
             positions += found
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pages, pa.int64())), pa.array(positions, pa.int64())], names=["page_id", "line_no"])
+        yield pa.RecordBatch.from_arrays([batch.column("page_id").take(pa.array(pages, pa.int64())), pa.array(positions, pa.int64())], names=["page_id", "line_no"])
 
 
 def main_content(pages: DataFrame) -> DataFrame:
@@ -295,22 +439,35 @@ def main_content(pages: DataFrame) -> DataFrame:
     Positions count from 0.  Null or empty ``lines`` give no rows, a null line is
     furniture, null titles, descriptions and URLs tell nothing (the site stands in
     for the host).  Pages alone on their host are judged by the known forms.
-    Repeated pages each give their rows.  Runs jobs: the order and the differences
-    are written to the shared folder.
+    Repeated pages each give their rows.  Other columns are not read.  Runs jobs: hashes,
+    order and differences are written to the shared folder.
     """
-    stage = Stage(pages.sparkSession, "boilerplate")
+    spark = pages.sparkSession
+    stage = Stage(spark, "boilerplate")
     kind = dict(pages.dtypes)["page_id"]
-    ordered = _ordered(pages, stage)
+    schema = f"page_id {kind}, host string, path string, same binary, head int, lengths array<int>, sentences array<int>, places array<int>, {_LINES}"
+    some = pages.where(F.size("lines") > 0).select("page_id", "url", "site", "title", "description", "lines")
+    taken = stage.write(some.mapInArrow(_take_apart, schema), "taken")
+    ordered = _ordered(taken, stage)
     block = (F.col("row") / BLOCK).cast("bigint")
     place = F.col("row") % BLOCK
     also = F.when(place < NEAR, F.array(block, block - 1)).when(place >= BLOCK - NEAR, F.array(block, block + 1)).otherwise(F.array(block))
     members = ordered.select("*", block.alias("own"), F.explode(also).alias("block")).withColumn("mine", F.col("own") == F.col("block")).drop("own")
-    schema = f"page_id {kind}, host string, url string, title string, description string, lines array<string>, shared array<double>, forms array<string>, head string, edge array<boolean>"
-    differenced = stage.write(members.groupBy("block").applyInArrow(_difference, schema), "differenced")
+    differenced = stage.write(members.groupBy("block").applyInArrow(_difference, _DIFFERENCED), "differenced")
+    stage.drop("ordered")
     forms = stage.write(known_forms(differenced), "forms")
-    few = forms.count() <= BROADCAST_ROWS
-    used = differenced.withColumn("key", F.monotonically_increasing_id()).select("key", "page_id", "url", "title", "description", "lines", "shared", "forms")
-    used = stage.write(used, "keyed")
-    each = used.select("key", F.explode(F.array_distinct("forms")).alias("form")).join(F.broadcast(forms) if few else forms, "form")
-    known = each.groupBy("key").agg(F.collect_list(F.struct("form", "furniture")).alias("known"))  # at most a page's lines
-    return used.join(known, "key", "left").select("page_id", "url", "title", "description", "lines", "shared", "forms", "known").mapInArrow(_decide, f"page_id {kind}, line_no bigint")
+    out = "same binary, seen int, classes binary"
+    used = differenced.select("same", "seen", "shared", "shape", *KINDS, "stem")
+    if forms.count() * 24 <= BROADCAST_BYTES:
+        got = forms.orderBy("form").toArrow()
+        table = spark.sparkContext.broadcast((got["form"].to_numpy(), got["known"].to_numpy()))
+        classed = used.mapInArrow(partial(_classify, table=table), out)
+    else:
+        used = stage.write(used.withColumn("key", F.monotonically_increasing_id()), "keyed")
+        each = used.select("key", F.explode(F.array_distinct(F.concat(*KINDS, "stem"))).alias("form")).where("form <> 0")
+        known = each.join(forms, "form").groupBy("key").agg(F.collect_list(F.struct("form", "known")).alias("known"))  # at most a page's lines
+        classed = used.join(known, "key", "left").drop("key").mapInArrow(_classify, out)
+    # of a page that several blocks hold copies of, the one with most neighbours tells
+    best = classed.groupBy("same").agg(F.max(F.struct("seen", "classes")).alias("b")).select("same", "b.classes")
+    decided = taken.select("page_id", "same", "head", "lengths", "sentences", "places").join(best, "same")
+    return decided.drop("same").mapInArrow(_decide, f"page_id {kind}, line_no bigint")
