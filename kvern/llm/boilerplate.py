@@ -257,10 +257,9 @@ def _difference(group: pa.Table) -> pa.Table:
 
     A host's counts stand in its first row; pages without neighbours don't count.
     """
-    group = group.sort_by("row").combine_chunks()
-    value = {c: group[c].combine_chunks() for c in group.column_names}
-    host, same = value["host"].to_pylist(), value["same"].to_pylist()
-    mine = value["mine"].to_pylist()
+    group = group.sort_by("row")
+    host, same, mine, head, shape = (group[c].to_pylist() for c in ("host", "same", "mine", "head", "shape"))
+    lists = {c: _split(group[c].combine_chunks()) for c in ("line", *KINDS, "stem", "rest")}
     first: dict[bytes, int] = {}
     owned: set[bytes] = set()
     for k, s in enumerate(same):
@@ -268,9 +267,9 @@ def _difference(group: pa.Table) -> pa.Table:
         if mine[k]:
             owned.add(s)
     pages = sorted(first.values())
-    rows = {c: [value[c][k].values.to_numpy() for k in pages] for c in ("line", *KINDS, "stem", "rest")}
-    shapes = [np.frombuffer(value["shape"][k].as_py(), np.uint8) for k in pages]
-    heads = [value["head"][k].as_py() for k in pages]
+    rows = {c: [lists[c][k] for k in pages] for c in lists}
+    shapes = [np.frombuffer(shape[k], np.uint8) for k in pages]
+    heads = [head[k] for k in pages]
     texts = [x.tolist() for x in rows["line"]]
     votes, seen = [np.zeros(len(t), np.int32) for t in texts], [0] * len(pages)
     for i, at in enumerate(pages):
@@ -297,10 +296,10 @@ def _difference(group: pa.Table) -> pa.Table:
             body = others.copy()
             body[:start] = False
             body[last:] = False
-            for kind in KINDS:
-                forms = rows[kind][i]
-                lines.update(forms[others & (forms != 0)].tolist())
-                within.update(forms[body & (forms != 0)].tolist())
+            every = np.concatenate([rows[kind][i][others] for kind in KINDS])
+            lines.update(every[every != 0].tolist())
+            every = np.concatenate([rows[kind][i][body] for kind in KINDS])
+            within.update(every[every != 0].tolist())
         for k in np.flatnonzero(rows["label"][i]):
             labels[int(rows["label"][i][k]), int(rows["rest"][i][k])] += 1
         row = {"same": same[at], "host": host[at], "seen": seen[i], "shared": shared.astype(np.uint8).tobytes(), "head": heads[i], "heads": head_form, "shape": shapes[i].tobytes()}
@@ -315,6 +314,12 @@ def _difference(group: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(out[n], _arrow(k)) for n, k in (f.split(" ", 1) for f in _DIFFERENCED.split(", "))})
 
 
+def _split(lists: pa.ListArray) -> list[np.ndarray]:
+    """A list column's rows as pieces of one array."""
+    flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
 def _arrow(kind: str) -> pa.DataType:
     return {"binary": pa.binary(), "string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64())}[kind]
 
@@ -380,9 +385,11 @@ def _classify(batches: Iterator[pa.RecordBatch], table=None) -> Iterator[pa.Reco
     for batch in batches:
         found = []
         columns = {c: batch.column(c) for c in batch.schema.names}
+        lists = {c: _split(columns[c]) for c in (*KINDS, "stem")}
+        votes, shapes = columns["shared"].to_pylist(), columns["shape"].to_pylist()
         for k in range(batch.num_rows):
-            rows = {c: columns[c][k].values.to_numpy() for c in (*KINDS, "stem")}
-            shared, shape = (np.frombuffer(columns[c][k].as_py(), np.uint8) for c in ("shared", "shape"))
+            rows = {c: lists[c][k] for c in lists}
+            shared, shape = np.frombuffer(votes[k], np.uint8), np.frombuffer(shapes[k], np.uint8)
             if table is None:
                 pairs = columns["known"][k].as_py() or []
                 forms, known = (np.array([p[c] for p in pairs], t) for c, t in (("form", np.int64), ("known", np.int32)))
