@@ -10,13 +10,16 @@ from kvern.operators.ranking import top
 
 #: Topics, the words that raise them, and the families of facts they need.
 TOPICS = {
-    "identity": (r"name|legal form|registered|industry|what does|business", ("identity", "description")),
-    "leadership": (r"lead|ceo|chair|board|owner|director|role", ("leadership",)),
-    "locations": (r"where|address|location|office|workplace|municipality", ("locations",)),
-    "financials": (r"revenue|profit|result|assets|equity|account|financ|number", ("financials", "history")),
-    "hiring": (r"hir|job|vacanc|recruit", ("hiring",)),
-    "workforce": (r"employ|people|staff|workforce", ("workforce",)),
-    "web": (r"website|contact|phone|mail|online", ("website", "identity")),
+    "financials": (r"financ|account|revenue|income|profit|result|debt|asset|equity|regnskap|omsetning|numbers", ("financials", "filing_history")),
+    "leadership": (r"lead|role|ceo|board|chair|director|manage|leder|styre|runs", ("leadership",)),
+    "locations": (r"location|where|subunit|office|workplace|address|operat", ("locations",)),
+    "hiring": (r"hir|job|vacanc|career|stilling|recruit|working", ("hiring",)),
+    "activity": (r"news|activ|publication|announc|nyhet", ("activity",)),
+    "online": (r"web|site|social|contact|email|phone|linkedin|facebook", ("website", "contact", "social_profiles", "description")),
+    "identity": (
+        r"industry|purpose|describ|employee|founded|legal form|registered|what (?:does|do) (?:it|they|the company|this company) do|about (?:it|the company|this company)",
+        ("identity", "description", "workforce"),
+    ),
 }
 ABSTAIN = ("sentiment", "glassdoor", "review", "buzz", "traffic", "fraud")
 
@@ -37,12 +40,13 @@ def families_of(topics: Column) -> Column:
 
 
 def ask(facts: DataFrame, questions: DataFrame) -> DataFrame:
-    """``(question, entity, field, value, stale)``: facts of the families that a question needs.
+    """``(question, entity, ...)`` with the facts' own columns: facts of the families that a question needs.
 
-    ``questions (question, entity)``; ``facts (entity, family, field, value, stale)``.
+    ``questions (question, entity)``; ``facts (entity, family, ...)``.  A company that
+    the store doesn't know, and a question for what no source holds, give no rows.
     """
     wanted = questions.select("question", "entity", F.explode(families_of(topics_of(F.col("question")))).alias("family"))
-    return wanted.join(facts, ["entity", "family"]).select("question", "entity", "field", "value", "stale")
+    return wanted.join(facts, ["entity", "family"]).select("question", *facts.columns)
 
 
 def gaps(state: DataFrame, questions: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Families of facts.
 FAMILIES = (
-    "identity", "description", "leadership", "locations", "financials", "history", "group", "workforce", "website", "brand", "social", "hiring", "activity",
+    "identity", "financials", "leadership", "locations", "group", "filing_history", "website", "description", "contact", "social_profiles", "hiring", "activity",
+    "workforce",
 )
 
 

@@ -7,6 +7,8 @@ a removal only where a complete check proves it, else it is carried on as stale.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +17,11 @@ CHANGED = {
     "legal_name": "changed_name", "legal_form": "changed_legal_form", "registered_address": "changed_address", "postal_address": "changed_address",
     "bankrupt": "changed_status", "liquidating": "changed_status", "registry_website_candidate": "changed_registry_website",
     "employees": "changed_employee_count", "workplace_employees": "changed_employee_count", "industry": "changed_industry",
+    "secondary_industry": "changed_industry", "tertiary_industry": "changed_industry",
     "official_website": "changed_website", "registered_role": "changed_role", "registered_workplace": "changed_location",
 }
 SETS = {"registered_role": ("new_role", "removed_role"), "registered_workplace": ("new_location", "removed_location")}
-FILINGS = ("latest_filing_year", "available_filing_years", "filing_years")
+FILINGS = ("latest_filing_year", "available_filing_years", "filing_years")  # the last is the name in the given tables
 QUIET = ("first_observed", "filing_value")
 
 
@@ -44,13 +47,23 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("status", status)
 
 
-def typed_changes(before: DataFrame, after: DataFrame, previous_day: str) -> DataFrame:
+def typed_changes(
+    before: DataFrame | None, after: DataFrame, previous_day: str | None = None, inactive: DataFrame | None = None, none_registered: DataFrame | None = None
+) -> DataFrame:
     """``(id, entity, field, family, type, material, previous_value, current_value)``, a row per change; stale facts give none.
 
+    Without an earlier run (``before`` is None) nothing has changed: no rows.
+    ``inactive (key)`` are job ads that their feed shows as closed: an active ad that
+    is gone and among these is a ``closed_job``.  ``none_registered (entity)`` are
+    entities whose earlier run said that no employees are registered: a first number
+    there is a ``changed_employee_count``.
+
     A filing year is announced once per entity: years that filing-year facts add come
     first, a new financial figure for an announced year is a ``filing_value``, for a
     year known before ``first_observed``, else the first figure announces it.
     """
+    if before is None:
+        return typed_changes(after.limit(0), after.limit(0), previous_day)
     pairs = compare(before, after)
     one = F.coalesce(F.col("new"), F.col("old"))
     rows = pairs.select(
@@ -80,6 +93,8 @@ def typed_changes(before: DataFrame, after: DataFrame, previous_day: str) -> Dat
     turn = F.row_number().over(Window.partitionBy("entity", "year").orderBy("id"))
     rows = rows.withColumn("turn", F.when(F.col("year").isNotNull(), turn))
 
+    rows = _marked(rows, inactive, "key", "is_inactive")
+    rows = _marked(rows, none_registered, "entity", "had_none")
     filing = F.when(F.col("is_announced"), "filing_value").when(F.col("is_known"), "first_observed").when(F.col("turn") == 1, "new_filing").otherwise("filing_value")
     later = F.substring("effective_at", 1, 10) > previous_day
     new_type = (
@@ -87,20 +102,74 @@ def typed_changes(before: DataFrame, after: DataFrame, previous_day: str) -> Dat
         .when(F.col("field").isin(*SETS) & both_complete, _lookup({f: n for f, (n, _) in SETS.items()}, F.col("field")))
         .when((F.col("family") == "hiring") & later, "new_job")
         .when((F.col("family") == "activity") & later, "new_publication")
+        .when((F.col("field") == "employees") & F.col("had_none"), "changed_employee_count")
         .otherwise("first_observed")
     )
     changed = F.coalesce(_lookup(CHANGED, F.col("field")), F.when(F.col("family") == "financials", "changed_financials").otherwise("changed"))
     matched_type = F.when(F.col("field").isin(*FILINGS), F.when(F.size("added") > 0, "new_filing").otherwise("changed")).otherwise(changed)
     gone_type = F.when(F.col("field").isin(*SETS) & F.coalesce("is_complete", F.lit(False)), _lookup({f: r for f, (_, r) in SETS.items()}, F.col("field")))
+    gone_type = F.coalesce(gone_type, F.when(_closed(F.col("previous_value")), "closed_job"))
     kind = F.when(F.col("status") == "new", new_type).when((F.col("status") == "matched") & ~F.col("same"), matched_type).when(F.col("status") == "gone", gone_type)
     typed = rows.withColumn("type", kind).where("type IS NOT NULL")
     return typed.select("id", "entity", "field", "family", "type", (~F.col("type").isin(*QUIET)).alias("material"), "previous_value", "current_value")
 
 
-def carried_forward(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Facts of the new run and, marked stale, those of the old one that are gone without proof of removal."""
-    kept = before.join(after.select("id"), "id", "left_anti")
+def _marked(rows: DataFrame, names: DataFrame | None, key: str, mark: str) -> DataFrame:
+    """Rows with a flag that says whether their key is among the names."""
+    if names is None:
+        return rows.withColumn(mark, F.lit(False))
+    named = names.select(key).distinct().withColumn(mark, F.lit(True))
+    return rows.join(named, key, "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
+
+
+def _closed(value: Column) -> Column:
+    return F.coalesce((F.col("field") == "job_posting") & F.col("is_inactive") & (F.get_json_object(value, "$.status") == "active"), F.lit(False))
+
+
+def carried_forward(before: DataFrame, after: DataFrame, inactive: DataFrame | None = None) -> DataFrame:
+    """Facts of the new run and, marked stale with a reason, those of the old one that are gone without proof of removal.
+
+    Proof is a complete check of a set, or a feed that shows a job ad as closed.
+    """
+    kept = _marked(before.join(after.select("id"), "id", "left_anti"), inactive, "key", "is_inactive")
     checked = after.groupBy("entity", "family").agg(F.max("complete").alias("is_complete"))
-    unproven = kept.join(checked, ["entity", "family"], "left").where(~(F.col("field").isin(*SETS) & F.coalesce("is_complete", F.lit(False))))
+    with_check = kept.join(checked, ["entity", "family"], "left")
+    unproven = with_check.where(~(F.col("field").isin(*SETS) & F.coalesce("is_complete", F.lit(False))) & ~_closed(F.col("value")))
+    reason = F.when(F.col("is_complete"), "missing from the new run").when(F.col("is_complete").isNull(), "family absent from the new run").otherwise("family not checked completely")
     columns = after.columns
-    return after.withColumn("stale", F.lit(False)).unionByName(unproven.select(*columns, F.lit(True).alias("stale")))
+    fresh = after.withColumn("stale", F.lit(False)).withColumn("stale_reason", F.lit(None).cast("string"))
+    return fresh.unionByName(unproven.select(*columns, F.lit(True).alias("stale"), reason.alias("stale_reason")))
+
+
+def carried_times(before: DataFrame | None, after: DataFrame) -> DataFrame:
+    """``(id, first_observed_at, last_changed_at)`` of the new run's facts.
+
+    A fact that was there before keeps when it was first observed; it changed when it
+    was last observed if its value is another one now, else when it did before.  A
+    new fact, and every fact of a first run, changed when it was first observed.
+    Facts have ``id, digest, first_observed_at, last_changed_at, last_observed_at``.
+    """
+    old = (after.limit(0) if before is None else before).select("id", *[F.col(c).alias(f"old_{c}") for c in ("digest", "first_observed_at", "last_changed_at")], F.lit(True).alias("there"))
+    both = after.join(old, "id", "left")
+    same = F.coalesce(F.col("digest") == F.col("old_digest"), F.lit(False))
+    changed = F.when(F.col("there").isNull(), F.col("first_observed_at")).when(same, F.coalesce("old_last_changed_at", "old_first_observed_at")).otherwise(F.col("last_observed_at"))
+    first = F.when(F.col("there"), F.col("old_first_observed_at")).otherwise(F.col("first_observed_at"))
+    return both.select("id", first.alias("first_observed_at"), changed.alias("last_changed_at"))
+
+
+def check_previous(before: DataFrame, cutoff: str | None = None) -> None:
+    """Refuses an earlier run that can't be compared: facts of no run, or, given a cutoff, observed after it.  Runs a job.
+
+    ``before`` has ``id``, ``run_id`` and ``last_observed_at``.  The cutoff is an ISO instant with a zone.
+    """
+    late = F.lit(False)
+    if cutoff is not None:
+        at = datetime.fromisoformat(cutoff)
+        if at.tzinfo is None:
+            raise ValueError("a cutoff needs a time zone")
+        late = F.col("last_observed_at") > F.lit(at)
+    bad, after = before.agg(F.count_if(F.col("run_id").isNull() | F.col("id").isNull()), F.count_if(F.coalesce(late, F.lit(False)))).first()
+    if bad:
+        raise ValueError(f"{bad} facts of the earlier run name no run or have no id: it is no first run either")
+    if after:
+        raise ValueError(f"{after} facts of the earlier run were observed after the cutoff")

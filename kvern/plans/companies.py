@@ -154,25 +154,20 @@ def _live(spark: SparkSession, folder: str) -> DataFrame:
     return now.select("entity", "id", "family", "field", "key", "value", F.coalesce("stale", F.lit(False)).alias("stale"), "effective_at")
 
 
-QUESTIONS = ("Who leads the company?", "What is its revenue and how many people does it employ?", "Tell me something", "Any glassdoor reviews?")
+QUESTIONS = ("Who leads the company?", "What is its revenue and how many employees does it have?", "Tell me something", "Any glassdoor reviews?")
 
 
 def ask_topics(spark: SparkSession, folder: str) -> DataFrame:
-    asked = spark.createDataFrame([(q,) for q in QUESTIONS], "question string").crossJoin(_one_entity(spark, folder))
-    return asking.ask(_live(spark, folder), asked)
-
-
-def ask_topics_everyone(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``ask_topics``, whose SQL asks one company, for every company."""
-    live = _live(spark, folder)
+    """Every company asked every question: the facts with what they were observed in and when."""
+    now = tables.current_claims(spark, folder).where("availability = 'available'")
+    live = now.select(
+        "entity", "family", "id", "field", "key", "value", "scope", F.coalesce("stale", F.lit(False)).alias("stale"),
+        F.array_join("evidence_ids", ",").alias("evidence"), F.unix_seconds("last_observed_at").alias("observed"),
+    )
     asked = live.select("entity").distinct().select("entity", F.explode(F.array(*map(F.lit, QUESTIONS))).alias("question"))
     return asking.ask(live, asked)
 
 
-def _one_entity(spark: SparkSession, folder: str) -> DataFrame:
-    return _live(spark, folder).agg(F.min("entity").alias("entity"))
-
-
 def ask_gaps(spark: SparkSession, folder: str) -> DataFrame:
     live = _live(spark, folder)
     entities = live.select("entity").distinct()
@@ -217,7 +212,7 @@ QUERIES = {name: _screened(question) for name, (question, _) in SCREENS.items()}
     f.__name__: f
     for f in (
         facts_unpivot, fact_ids, first_wins, org_checksum, whole_units, plain_amounts, latest_amount, latest_period, ratio_same_period, report_index,
-        report_totals, compare_three, ask_topics, ask_topics_everyone, ask_gaps, answers_standard, summary_brief, website_candidates, gate_rules,
+        report_totals, compare_three, ask_topics, ask_gaps, answers_standard, summary_brief, website_candidates, gate_rules,
     )
 }
 
@@ -276,12 +271,13 @@ ORACLES = {name: f"{_COMPANY} {_SHOWN} {where}" for name, (_, where) in SCREENS.
       CAST(floor(epoch(max(last_observed_at))) AS BIGINT) AS updated FROM current_claim""",
     "compare_three": f"""WITH {ENTITIES_SQL}, {_FACTS}, s AS (SELECT organisasjonsnummer, row_number() OVER (ORDER BY organisasjonsnummer) AS k FROM entity ORDER BY organisasjonsnummer LIMIT 3)
       SELECT field, max(value) FILTER (k = 1) AS c1, max(value) FILTER (k = 2) AS c2, max(value) FILTER (k = 3) AS c3 FROM fact JOIN s USING (organisasjonsnummer) GROUP BY field""",
-    "ask_topics": f"""WITH {NOW_SQL}, live AS (SELECT *, coalesce(stale, false) AS old FROM current_claim WHERE availability = 'available'),
-      w AS (SELECT unnest([{{'q': '{QUESTIONS[0]}', 'f': ['leadership']}}, {{'q': '{QUESTIONS[1]}', 'f': ['financials', 'history', 'workforce']}},
-        {{'q': '{QUESTIONS[2]}', 'f': ['identity', 'description', 'leadership', 'locations', 'financials', 'history', 'hiring', 'workforce', 'website']}}]) AS x)
-      SELECT x.q AS question, entity, field, value, old AS stale FROM w, live WHERE list_contains(x.f, family) AND entity = (SELECT min(entity) FROM live)""",
+    "ask_topics": f"""WITH {NOW_SQL}, live AS (SELECT * FROM current_claim WHERE availability = 'available'),
+      w AS (SELECT unnest([{{'q': '{QUESTIONS[0]}', 'f': ['leadership']}}, {{'q': '{QUESTIONS[1]}', 'f': ['financials', 'filing_history', 'identity', 'description', 'workforce']}},
+        {{'q': '{QUESTIONS[2]}', 'f': ['identity', 'financials', 'leadership', 'locations', 'filing_history', 'website', 'description', 'contact', 'social_profiles', 'hiring', 'activity', 'workforce']}}]) AS x)
+      SELECT x.q AS question, entity, family, id, field, key, value, scope, coalesce(stale, false) AS stale, array_to_string(evidence_ids, ',') AS evidence,
+        CAST(floor(epoch(last_observed_at)) AS BIGINT) AS observed FROM w JOIN live ON list_contains(x.f, family)""",
     "ask_gaps": f"""WITH {NOW_SQL}, live AS (SELECT DISTINCT entity, family FROM current_claim WHERE availability = 'available'),
-      w AS (SELECT entity, unnest(['financials', 'history', 'workforce']) AS family FROM (SELECT DISTINCT entity FROM live))
+      w AS (SELECT entity, unnest(['financials', 'filing_history', 'identity', 'description', 'workforce']) AS family FROM (SELECT DISTINCT entity FROM live))
       SELECT '{QUESTIONS[1]}' AS question, entity, family, 'not_available' AS state FROM w WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.entity = w.entity AND l.family = w.family)""",
     "answers_standard": _ANSWERS + "SELECT entity, ordinal, question, answer IS NOT NULL AS answerable, coalesce(answer, 'unknown') AS answer FROM said",
     "summary_brief": _ANSWERS + "SELECT entity, string_agg(answer, '. ' ORDER BY ordinal) AS brief FROM said WHERE answer IS NOT NULL GROUP BY entity",

@@ -118,13 +118,6 @@ def user_cost(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def value_before(spark: SparkSession, folder: str) -> DataFrame:
-    """How often a claim's text differs from its last one, by field."""
-    rows = tables.claims(spark, folder).select("entity", "id", "run_no", "field", "value")
-    lag = F.lag("value").over(Window.partitionBy("entity", "id").orderBy("run_no"))
-    return rows.withColumn("before", lag).groupBy("field").agg(F.count_if(F.col("before").isNotNull() & (F.col("before") != F.col("value"))).alias("changed"), F.count("before").alias("seen_before"))
-
-
-def value_before_by_value(spark: SparkSession, folder: str) -> DataFrame:
     """How often a claim's value, however spelled, differs from its last one, by field; a missing value is JSON null."""
     rows = tables.claims(spark, folder).select("entity", "id", "run_no", "field", value_digests(F.array("value"))[0].alias("digest"))
     lag = F.lag("digest").over(Window.partitionBy("entity", "id").orderBy("run_no"))
@@ -195,7 +188,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         active_roles, workplace_completeness, wrong_parent, workforce_state, accounts_valid, envelope_states, viewer_list, safe_urls, other_numbers,
-        homepages_by_firm, required_evidence, known_filing_years, places_staff_board, user_cost, value_before, value_before_by_value, guessed_domains, json_quotes,
+        homepages_by_firm, required_evidence, known_filing_years, places_staff_board, user_cost, value_before, guessed_domains, json_quotes,
         decoded_bodies, observations, regated, run_report, dated_links, site_descriptions,
     )
 }
@@ -244,8 +237,9 @@ ORACLES = {
       CAST(sum(coalesce(TRY_CAST(json_extract_string(value, '$.employees') AS BIGINT), 0)) FILTER (field = 'registered_workplace') AS BIGINT) AS staff,
       count(*) FILTER (field = 'registered_role') AS board, max(effective_at) FILTER (field = 'registered_role') AS since FROM current_claim GROUP BY entity""",
     "user_cost": "SELECT user_id, count(*) AS requests, CAST(round(sum(CAST(value AS DECIMAL(18,6))), 6) AS VARCHAR) AS cost FROM events GROUP BY user_id",
-    "value_before": f"""WITH {CLAIMS_SQL}, l AS (SELECT field, value, lag(value) OVER (PARTITION BY entity, id ORDER BY run_no) AS before FROM claim)
-      SELECT field, count(*) FILTER (before <> value) AS changed, count(before) AS seen_before FROM l GROUP BY field""",
+    "value_before": f"""WITH {CLAIMS_SQL}, d AS (SELECT *, {tables.value_sql("value")} AS same_as FROM claim),
+      l AS (SELECT field, same_as, lag(same_as) OVER (PARTITION BY entity, id ORDER BY run_no) AS before FROM d)
+      SELECT field, count(*) FILTER (before <> same_as) AS changed, count(before) AS seen_before FROM l GROUP BY field""",
     "guessed_domains": f"""WITH n AS (SELECT DISTINCT organisasjonsnummer, CASE WHEN len({_KEPT}) > 0 THEN {_KEPT} ELSE {_WORDS} END AS w FROM entities)
       SELECT DISTINCT organisasjonsnummer, unnest([array_to_string(w, ''), array_to_string(w, '-'), w[1]]) || '.no' AS domain FROM n""",
     "json_quotes": """SELECT record_id, '"kode": ' || CAST(json_extract(body, '$.rollegrupper[0].type.kode') AS VARCHAR) AS quote FROM role_records

@@ -2,110 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvern.functions.canonical import value_digests
 from kvern.operators import audit, facts, ranking, refresh
 from kvern.plans import tables
 from kvern.plans.tables import CLAIMS_SQL, NOW_SQL, table
-from kvern.sources import sinks
+from kvern.sources import jobfeed, sinks
 
 STATES = ("available", "blocked", "failed", "not_available", "ambiguous", "not_applicable")
 
 
-def _two_runs(spark: SparkSession, folder: str, by_value: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The facts of the last two runs, as a typed difference wants them.
+def _facts(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+    """The facts of the last two runs with ``is_last``, and the day of the run before the last.
 
     A family counts as completely checked where the entity's facts of it are none of
-    them stale.  A value's digest is that of its canonical form or, for the queries
-    that SQL stands beside, of its text: another spelling is another value to these.
+    them stale.  A value's digest is that of its canonical form: another spelling is the same value.
     """
     rows = tables.claims(spark, folder).withColumn("stale", F.coalesce("stale", F.lit(False)))
-    last = tables.runs(spark, folder).agg(F.max("run_no").alias("last"))
-    both = rows.join(F.broadcast(last), F.col("run_no") >= F.col("last") - 1)
-    digest = value_digests(F.array("value"))[0] if by_value else F.xxhash64("value")
-    shaped = both.select(
-        "run_no", "last", "id", "entity", "field", "family", "key", "value", digest.alias("digest"), "effective_at", "stale"
-    )
-    done = shaped.groupBy("run_no", "entity", "family").agg((~F.max("stale")).alias("complete"))
-    whole = shaped.join(done, ["run_no", "entity", "family"])
-    columns = ["id", "entity", "field", "family", "key", "value", "digest", "effective_at", "complete"]
-    return whole.where("run_no = last - 1").select(columns), whole.where("run_no = last").select(columns)
+    done = table(spark, folder, "envelopes").groupBy(F.col("run.run_id").alias("run_id")).agg(F.max("run.completed_at").alias("at"))
+    days = tables.runs(spark, folder).join(done, "run_id").orderBy(F.col("run_no").desc()).select("run_no", F.date_format("at", "yyyy-MM-dd").alias("day")).head(2)  # two runs
+    last = days[0].run_no if days else -1
+    both = rows.where(F.col("run_no") >= last - 1)
+    shaped = both.withColumn("digest", value_digests(F.array("value"))[0]).withColumn("is_last", F.col("run_no") == last)
+    families = Window.partitionBy("run_no", "entity", "family")  # a company's facts of one family
+    return shaped.withColumn("complete", ~F.max("stale").over(families)), days[1].day if len(days) > 1 else ""
+
+
+_NEEDED = ("id", "entity", "field", "family", "key", "value", "digest", "effective_at", "complete")
+_TIMES = ("id", "digest", "first_observed_at", "last_changed_at", "last_observed_at")
+
+
+def _two_runs(spark: SparkSession, folder: str, columns: tuple[str, ...] = _NEEDED) -> tuple[DataFrame, DataFrame]:
+    rows, _ = _facts(spark, folder)
+    return rows.where("NOT is_last").select(*columns), rows.where("is_last").select(*columns)
+
+
+def _inactive(spark: SparkSession, folder: str) -> DataFrame:
+    """Ads that the feed shows as closed, by their number."""
+    return jobfeed.current_ads(table(spark, folder, "job_entries").select("uuid", "status", "sistEndret", "received_at")).where("status <> 'ACTIVE'").select(F.col("uuid").alias("key"))
+
+
+def _none_registered(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.entities(spark, folder).where("harRegistrertAntallAnsatte = false").select(F.col("organisasjonsnummer").alias("entity"))
 
 
 _PAIR = f"""WITH {CLAIMS_SQL},
-shaped AS (SELECT *, coalesce(stale, false) AS old FROM claim WHERE run_no >= (SELECT max(run_no) - 1 FROM runs)),
+ended AS (SELECT run.run_id AS run_id, strftime(max(run.completed_at), '%Y-%m-%d') AS day FROM envelopes GROUP BY 1),
+shaped AS (SELECT *, coalesce(stale, false) AS old, {tables.value_sql("value")} AS same_as FROM claim WHERE run_no >= (SELECT max(run_no) - 1 FROM runs)),
 done AS (SELECT run_no, entity, family, NOT bool_or(old) AS complete FROM shaped GROUP BY ALL),
 whole AS (SELECT * FROM shaped JOIN done USING (run_no, entity, family)),
 b AS (SELECT * FROM whole WHERE run_no = (SELECT max(run_no) - 1 FROM runs)),
-a AS (SELECT * FROM whole WHERE run_no = (SELECT max(run_no) FROM runs))"""
+a AS (SELECT * FROM whole WHERE run_no = (SELECT max(run_no) FROM runs)),
+shut AS (SELECT uuid FROM (SELECT uuid, status FROM job_entries QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY sistEndret DESC, received_at DESC) = 1) WHERE status <> 'ACTIVE'),
+bare AS (SELECT organisasjonsnummer FROM (SELECT organisasjonsnummer, harRegistrertAntallAnsatte AS h FROM entities
+  QUALIFY row_number() OVER (PARTITION BY organisasjonsnummer ORDER BY retrieved_at DESC) = 1) WHERE NOT h)"""
 
 
-def _full_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    pairs = refresh.compare(before, after)
+def refresh_full_diff(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = refresh.compare(*_two_runs(spark, folder))
     same = F.coalesce(F.col("old.digest") == F.col("new.digest"), F.lit(False))
     return pairs.select("id", F.when((F.col("status") == "matched") & same, "same").otherwise(F.col("status")).alias("status"))
 
 
-def refresh_full_diff(spark: SparkSession, folder: str) -> DataFrame:
-    return _full_diff(*_two_runs(spark, folder))
-
-
-def refresh_full_diff_by_value(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``refresh_full_diff``, values compared as values: numbers by amount, lists without order."""
-    return _full_diff(*_two_runs(spark, folder, by_value=True))
-
-
 def refresh_stale_carry_forward(spark: SparkSession, folder: str) -> DataFrame:
-    return refresh.carried_forward(*_two_runs(spark, folder)).select("id", "entity", "field", "stale")
+    rows = refresh.carried_forward(*_two_runs(spark, folder), _inactive(spark, folder))
+    return rows.select("id", "entity", "field", "stale", "stale_reason")
 
 
-def _typed(spark: SparkSession, folder: str) -> DataFrame:
-    return refresh.typed_changes(*_two_runs(spark, folder), previous_day="2026-05-06")
+def refresh_times(spark: SparkSession, folder: str) -> DataFrame:
+    """When the last run's facts were first observed and last changed, carried on from the run before."""
+    rows = refresh.carried_times(*_two_runs(spark, folder, _TIMES))
+    return rows.select("id", F.unix_seconds("first_observed_at").alias("first_observed"), F.unix_seconds("last_changed_at").alias("last_changed"))
 
 
-def _typed_by_value(spark: SparkSession, folder: str) -> DataFrame:
-    return refresh.typed_changes(*_two_runs(spark, folder, by_value=True), previous_day="2026-05-06")
+def _typed(spark: SparkSession, folder: str) -> DataFrame:
+    rows, day = _facts(spark, folder)
+    before, after = (rows.where(which).select(*_NEEDED) for which in ("NOT is_last", "is_last"))
+    return refresh.typed_changes(before, after, day, _inactive(spark, folder), _none_registered(spark, folder))
 
 
 def refresh_typed_changes(spark: SparkSession, folder: str) -> DataFrame:
     return _typed(spark, folder).select("id", "entity", "field", "type", "material")
 
 
-def refresh_typed_changes_by_value(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``refresh_typed_changes``, values compared as values."""
-    return _typed_by_value(spark, folder).select("id", "entity", "field", "type", "material")
-
-
 def refresh_removed_when_complete(spark: SparkSession, folder: str) -> DataFrame:
     return _typed(spark, folder).where(F.col("type").startswith("removed_")).select("id", "entity", "type")
 
 
-def _filings(typed: DataFrame) -> DataFrame:
-    return typed.where("type IN ('new_filing', 'filing_value')").groupBy("entity", "type").agg(F.count("*").alias("n"))
-
-
 def refresh_new_filing_once(spark: SparkSession, folder: str) -> DataFrame:
-    return _filings(_typed(spark, folder))
-
-
-def refresh_new_filing_once_by_value(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``refresh_new_filing_once``, values compared as values."""
-    return _filings(_typed_by_value(spark, folder))
-
-
-def _by_type(typed: DataFrame) -> DataFrame:
-    return typed.groupBy("type").agg(F.count("*").alias("n"), F.count_if("material").alias("material"))
+    return _typed(spark, folder).where("type IN ('new_filing', 'filing_value')").groupBy("entity", "type").agg(F.count("*").alias("n"))
 
 
 def changes_by_type(spark: SparkSession, folder: str) -> DataFrame:
-    return _by_type(_typed(spark, folder))
-
-
-def changes_by_type_by_value(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``changes_by_type``, values compared as values."""
-    return _by_type(_typed_by_value(spark, folder))
+    return _typed(spark, folder).groupBy("type").agg(F.count("*").alias("n"), F.count_if("material").alias("material"))
 
 
 def value_equality(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,17 +188,21 @@ QUERIES = {
     for f in (
         refresh_full_diff, refresh_stale_carry_forward, refresh_typed_changes, refresh_removed_when_complete, refresh_new_filing_once, changes_by_type,
         value_equality, family_coverage, state_histogram, citation_first_match, provenance_fallback, integrity_violations, audit_counts, evidence_union,
-        claims_audit, bodies_once, refresh_full_diff_by_value, refresh_typed_changes_by_value, refresh_new_filing_once_by_value, changes_by_type_by_value,
+        claims_audit, bodies_once, refresh_times,
     )
 }
 
-_GONE = "NOT (field IN ('registered_role', 'registered_workplace') AND coalesce((SELECT bool_or(a.complete) FROM a WHERE a.entity = b.entity AND a.family = b.family), false))"
+_GONE = """NOT (field = 'job_posting' AND coalesce(json_extract_string(value, '$.status') = 'active' AND key IN (SELECT uuid FROM shut), false)) AND NOT (field IN ('registered_role', 'registered_workplace') AND coalesce((SELECT bool_or(a.complete) FROM a WHERE a.entity = b.entity AND a.family = b.family), false))"""
 _YEARS = "list_sort(list_distinct(regexp_extract_all({0}, '(?:^|[^0-9])([0-9]{{4}})(?:$|[^0-9])', 1)))"
-_CHANGED = " ".join(f"WHEN '{f}' THEN '{t}'" for f, t in refresh.CHANGED.items())
+_CHANGED = """WHEN 'legal_name' THEN 'changed_name' WHEN 'legal_form' THEN 'changed_legal_form' WHEN 'registered_address' THEN 'changed_address'
+  WHEN 'postal_address' THEN 'changed_address' WHEN 'bankrupt' THEN 'changed_status' WHEN 'liquidating' THEN 'changed_status'
+  WHEN 'registry_website_candidate' THEN 'changed_registry_website' WHEN 'employees' THEN 'changed_employee_count' WHEN 'workplace_employees' THEN 'changed_employee_count'
+  WHEN 'industry' THEN 'changed_industry' WHEN 'secondary_industry' THEN 'changed_industry' WHEN 'tertiary_industry' THEN 'changed_industry'
+  WHEN 'official_website' THEN 'changed_website' WHEN 'registered_role' THEN 'changed_role' WHEN 'registered_workplace' THEN 'changed_location'"""
 _TYPED = f"""{_PAIR},
 p AS (SELECT coalesce(a.id, b.id) AS id, coalesce(a.entity, b.entity) AS entity, coalesce(a.field, b.field) AS field, coalesce(a.family, b.family) AS family,
     coalesce(a.key, b.key) AS key, CASE WHEN b.id IS NULL THEN 'new' WHEN a.id IS NULL THEN 'gone' ELSE 'matched' END AS status,
-    coalesce(a.value IS NOT DISTINCT FROM b.value AND a.id IS NOT NULL AND b.id IS NOT NULL, false) AS same, b.value AS v0, a.value AS v1, a.effective_at AS eff
+    coalesce(a.same_as = b.same_as AND a.id IS NOT NULL AND b.id IS NOT NULL, false) AS same, b.value AS v0, a.value AS v1, a.effective_at AS eff
   FROM b FULL JOIN a ON a.id = b.id),
 wc AS (SELECT entity, family, bool_or(complete) AS was FROM b GROUP BY ALL), ic AS (SELECT entity, family, bool_or(complete) AS now FROM a GROUP BY ALL),
 filing AS (SELECT id, entity, list_filter({_YEARS.format("v1")}, lambda y: NOT list_contains({_YEARS.format("v0")}, y)) AS added FROM p
@@ -223,12 +218,14 @@ t AS (SELECT p.id, p.entity, p.field, p.family, CASE
       WHEN yt.year IS NOT NULL THEN CASE WHEN n.year IS NOT NULL THEN 'filing_value' WHEN k.year IS NOT NULL THEN 'first_observed' WHEN turn = 1 THEN 'new_filing' ELSE 'filing_value' END
       WHEN field = 'registered_role' AND coalesce(was, false) AND coalesce(now, false) THEN 'new_role'
       WHEN field = 'registered_workplace' AND coalesce(was, false) AND coalesce(now, false) THEN 'new_location'
-      WHEN p.family = 'hiring' AND substr(eff, 1, 10) > '2026-05-06' THEN 'new_job'
-      WHEN p.family = 'activity' AND substr(eff, 1, 10) > '2026-05-06' THEN 'new_publication' ELSE 'first_observed' END
+      WHEN p.family = 'hiring' AND substr(eff, 1, 10) > (SELECT max(day) FROM ended JOIN runs USING (run_id) WHERE run_no = (SELECT max(run_no) - 1 FROM runs)) THEN 'new_job'
+      WHEN p.family = 'activity' AND substr(eff, 1, 10) > (SELECT max(day) FROM ended JOIN runs USING (run_id) WHERE run_no = (SELECT max(run_no) - 1 FROM runs)) THEN 'new_publication'
+      WHEN field = 'employees' AND p.entity IN (SELECT organisasjonsnummer FROM bare) THEN 'changed_employee_count' ELSE 'first_observed' END
     WHEN status = 'matched' AND NOT same THEN CASE
       WHEN field IN ('latest_filing_year', 'available_filing_years', 'filing_years') THEN CASE WHEN len(f.added) > 0 THEN 'new_filing' ELSE 'changed' END
       ELSE CASE field {_CHANGED} ELSE CASE WHEN p.family = 'financials' THEN 'changed_financials' ELSE 'changed' END END END
-    WHEN status = 'gone' AND coalesce(now, false) THEN CASE field WHEN 'registered_role' THEN 'removed_role' WHEN 'registered_workplace' THEN 'removed_location' END END AS type
+    WHEN status = 'gone' THEN CASE WHEN field = 'registered_role' AND coalesce(now, false) THEN 'removed_role' WHEN field = 'registered_workplace' AND coalesce(now, false) THEN 'removed_location'
+      WHEN field = 'job_posting' AND json_extract_string(v0, '$.status') = 'active' AND p.key IN (SELECT uuid FROM shut) THEN 'closed_job' END END AS type
   FROM p LEFT JOIN wc ON wc.entity = p.entity AND wc.family = p.family LEFT JOIN ic ON ic.entity = p.entity AND ic.family = p.family
   LEFT JOIN filing f ON f.id = p.id LEFT JOIN yt ON yt.id = p.id LEFT JOIN announced n ON n.entity = p.entity AND n.year = yt.year
   LEFT JOIN knew k ON k.entity = p.entity AND k.year = yt.year),
@@ -243,10 +240,14 @@ found AS (SELECT DISTINCT * FROM (
     FROM r LEFT JOIN e USING (evidence_id)) WHERE code IS NOT NULL)"""
 
 ORACLES = {
-    "refresh_full_diff": f"""{_PAIR} SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'new' WHEN a.id IS NULL THEN 'gone' WHEN a.value = b.value THEN 'same' ELSE 'matched' END AS status
+    "refresh_full_diff": f"""{_PAIR} SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'new' WHEN a.id IS NULL THEN 'gone' WHEN a.same_as = b.same_as THEN 'same' ELSE 'matched' END AS status
       FROM b FULL JOIN a ON a.id = b.id""",
-    "refresh_stale_carry_forward": f"""{_PAIR} SELECT id, entity, field, false AS stale FROM a UNION ALL
-      SELECT id, entity, field, true FROM b WHERE id NOT IN (SELECT id FROM a) AND {_GONE}""",
+    "refresh_stale_carry_forward": f"""{_PAIR} SELECT id, entity, field, false AS stale, NULL AS stale_reason FROM a UNION ALL
+      SELECT id, entity, field, true, CASE (SELECT bool_or(a.complete) FROM a WHERE a.entity = b.entity AND a.family = b.family) WHEN true THEN 'missing from the new run'
+        WHEN false THEN 'family not checked completely' ELSE 'family absent from the new run' END FROM b WHERE id NOT IN (SELECT id FROM a) AND {_GONE}""",
+    "refresh_times": f"""{_PAIR} SELECT a.id, CAST(floor(epoch(CASE WHEN b.id IS NULL THEN a.first_observed_at ELSE b.first_observed_at END)) AS BIGINT) AS first_observed,
+      CAST(floor(epoch(CASE WHEN b.id IS NULL THEN a.first_observed_at WHEN a.same_as = b.same_as THEN coalesce(b.last_changed_at, b.first_observed_at) ELSE a.last_observed_at END)) AS BIGINT) AS last_changed
+      FROM a LEFT JOIN b ON a.id = b.id""",
     "refresh_typed_changes": f"{_TYPED} SELECT id, entity, field, type, material FROM typed",
     "refresh_removed_when_complete": f"{_TYPED} SELECT id, entity, type FROM typed WHERE type LIKE 'removed_%'",
     "refresh_new_filing_once": f"{_TYPED} SELECT entity, type, count(*) AS n FROM typed WHERE type IN ('new_filing', 'filing_value') GROUP BY ALL",
@@ -266,7 +267,8 @@ ORACLES = {
     "audit_counts": f"{_FOUND} SELECT code, count(*) AS n FROM found GROUP BY code",
     "evidence_union": f"{_CITED} SELECT id, string_agg(DISTINCT x, ',' ORDER BY x) AS evidence FROM (SELECT id, unnest(evidence_ids) AS x FROM f) GROUP BY id",
     "claims_audit": f"""WITH {NOW_SQL}, found AS (SELECT DISTINCT * FROM (SELECT entity, id, 'unsupported fact' AS code FROM current_claim WHERE value IS NULL OR coalesce(len(evidence_ids), 0) = 0
-      UNION ALL SELECT entity, id, 'unknown family' FROM current_claim WHERE family NOT IN {audit.FAMILIES}
+      UNION ALL SELECT entity, id, 'unknown family' FROM current_claim WHERE family NOT IN ('identity', 'financials', 'leadership', 'locations', 'group',
+        'filing_history', 'website', 'description', 'contact', 'social_profiles', 'hiring', 'activity', 'workforce')
       UNION ALL SELECT entity, id, 'financial fact missing period' FROM current_claim WHERE family = 'financials' AND NOT contains(coalesce(key, ''), ':')
       UNION ALL SELECT entity, id, 'duplicate fact id' FROM current_claim GROUP BY entity, id HAVING count(*) > 1)) SELECT code, count(*) AS n FROM found GROUP BY code""",
     "bodies_once": "SELECT sha256(body) AS sha, CAST(length(any_value(body)) AS INT) AS size FROM role_records WHERE body IS NOT NULL GROUP BY 1",

@@ -55,8 +55,9 @@ def claims(spark: SparkSession, folder: str) -> DataFrame:
     last = ranking.latest(rows, ["run_id", "entity"], ["received_at"])
     one = last.select("run_id", "entity", F.posexplode("claims").alias("pos", "c")).where("c.id IS NOT NULL")
     numbered = one.join(runs(spark, folder), "run_id")
-    names = ["id", "field", "family", "key", "value", "availability", "evidence_ids", "effective_at", "last_observed_at", "stale"]
-    return numbered.select("run_no", "run_id", "entity", "pos", *[F.col(f"c.{n}").alias(n) for n in names])
+    names = ["id", "field", "family", "key", "value", "availability", "scope", "confidence", "evidence_ids", "effective_at", "first_observed_at", "last_changed_at", "last_observed_at", "stale"]
+    there = set(one.schema["c"].dataType.names)
+    return numbered.select("run_no", "run_id", "entity", "pos", *[F.col(f"c.{n}").alias(n) for n in names if n in there])
 
 
 CLAIMS_SQL = """runs AS (
@@ -68,7 +69,8 @@ held AS (
 one AS (SELECT run_id, entity, unnest(claims) AS c, generate_subscripts(claims, 1) - 1 AS pos FROM held),
 claim AS (
   SELECT run_no, run_id, entity, pos, c.id AS id, c.field AS field, c.family AS family, c.key AS key, c.value AS value,
-    c.availability AS availability, c.evidence_ids AS evidence_ids, c.effective_at AS effective_at, c.last_observed_at AS last_observed_at,
+    c.availability AS availability, c.scope AS scope, c.confidence AS confidence, c.evidence_ids AS evidence_ids, c.effective_at AS effective_at,
+    c.first_observed_at AS first_observed_at, c.last_changed_at AS last_changed_at, c.last_observed_at AS last_observed_at,
     c.stale AS stale FROM one JOIN runs USING (run_id))"""
 
 #: Claims of the last run.
@@ -102,3 +104,25 @@ AMOUNTS_SQL = """amount AS (
   SELECT run_no, entity, field, pos, split_part(key, ':', 1) AS first_day, split_part(key, ':', 2) AS last_day, split_part(key, ':', 3) AS account_type,
     TRY_CAST(json_extract_string(value, '$.amount') AS DECIMAL(38,6)) AS amount, json_extract_string(value, '$.currency') AS currency
   FROM current_claim WHERE family = 'financials' AND TRY_CAST(json_extract_string(value, '$.amount') AS DECIMAL(38,6)) IS NOT NULL)"""
+
+
+def _scalar_sql(v: str) -> str:
+    text = f"json_extract_string({v}, '$')"
+    return f"""CASE WHEN {v} IS NULL OR json_type({v}) = 'NULL' THEN 'null' WHEN json_type({v}) = 'BOOLEAN' THEN 'is ' || {text}
+      WHEN regexp_full_match({text}, '-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?') THEN '#' || CAST(CAST({text} AS DECIMAL(38,10)) AS VARCHAR) ELSE 'text ' || {text} END"""
+
+
+def _json_sql(v: str, depth: int) -> str:
+    if not depth:
+        return _scalar_sql(v)
+    w, k = f"w{depth}", f"k{depth}"
+    return f"""CASE WHEN json_type({v}) = 'ARRAY' THEN '[' || array_to_string(list_sort(list_transform(CAST({v} AS JSON[]), lambda {w}: {_json_sql(w, depth - 1)})), ', ') || ']'
+      WHEN json_type({v}) = 'OBJECT' THEN '{{' || array_to_string(list_transform(list_sort(json_keys({v})), lambda {k}: {k} || ': ' ||
+        list_transform([json_extract({v}, '$."' || {k} || '"')], lambda {w}: {_json_sql(w, depth - 1)})[1]), ', ') || '}}'
+      ELSE {_scalar_sql(v)} END"""
+
+
+def value_sql(column: str, depth: int = 2) -> str:
+    """SQL for a JSON text by its value: numbers, in strings too, by amount, lists and members without order.  Values nested deeper than ``depth`` don't occur."""
+    return f"""CASE WHEN {column} IS NULL THEN 'null' WHEN NOT json_valid({column}) THEN 'raw ' || {column}
+      ELSE list_transform([CAST({column} AS JSON)], lambda v: {_json_sql("v", depth)})[1] END"""

@@ -9,5 +9,5 @@ def test_every_company_is_asked(spark, tmp_path):
     folder = save(spark, tmp_path, [facts], orgs=("1", "2", "3"))
     lead, staff, every, _ = companies.QUESTIONS
     asked = [(lead, "registered_role"), (staff, "employees"), *((every, f[1]) for f in facts)]
-    got = sorted((r.entity, r.question, r.field) for r in companies.ask_topics_everyone(spark, folder).collect())
+    got = sorted((r.entity, r.question, r.field) for r in companies.ask_topics(spark, folder).collect())
     assert got == sorted((org, q, f) for org in "123" for q, f in asked)
