@@ -1,10 +1,12 @@
 """Bitemporal history of facts: what held in which runs, and when that was on record.
 
-Every delivery states an entity's facts for one run.  A later delivery for the same
-run supersedes the earlier one without overwriting it: the earlier statement keeps
-its recorded period, which ends where the later one is received.  A sweep over each
-fact's runs then joins consecutive runs with the same value to versions; a run in
-between in which the fact is missing, or has another value, splits them.
+Every delivery states an entity's facts for one run.  It is an update of the ledger:
+valid for its run and, while nothing later is on record for the entity, taken to go on
+for the run after that too.  The next run's delivery, or the run's end without one,
+splits that period; a delivery that comes late splits what was recorded before it.
+Nothing is overwritten: what is superseded keeps the period in which it was on
+record.  A second sweep over each fact's runs joins consecutive runs with the same
+value to versions.
 """
 
 from __future__ import annotations
@@ -49,27 +51,47 @@ def ledger(updates: DataFrame) -> DataFrame:
     )
 
 
-def statements(envelopes: DataFrame) -> DataFrame:
-    """The ledger of deliveries.  A delivery covers one run, which is an elementary part already, so nothing has to be split first: ``(entity, id, run_no, digest, observed, recorded_from, recorded_to)``.
+EARLIEST = "0001-01-01 00:00:00"  # when a delivery without a time counts as recorded
 
-    A row per fact and delivery; ``recorded_to`` is null while the delivery holds.
-    Deliveries that are the same in all respects count once.  Nothing is
-    overwritten: earlier statements stay with their recorded period.
+
+def updates(envelopes: DataFrame) -> DataFrame:
+    """``(key, value, valid_from, valid_to, recorded_at)`` of deliveries: what ``ledger`` takes, a key per entity.
+
+    ``value`` names the delivery: ``(run_no, told)``, with ``told`` false for a run that
+    ended without a delivery for an entity of other runs.  Times are run numbers; a
+    run's end is its ``completed_at``.  Only three columns are read, facts are not.
     """
-    rows = snapshots.deliveries(envelopes, {"observed": "claims.last_observed_at"})
-    once = rows.groupBy("run_no", "entity", "received_at", "ids", "digests").agg(F.max("observed").alias("observed"))
-    order = Window.partitionBy("run_no", "entity").orderBy(F.col("received_at").asc_nulls_first(), "ids", "digests")
-    spans = once.select(
-        "run_no",
-        "entity",
-        "ids",
-        "digests",
-        "observed",
-        F.col("received_at").alias("recorded_from"),
-        F.lead("received_at").over(order).alias("recorded_to"),
-        (F.lead(F.lit(True)).over(order).isNotNull()).alias("superseded"),
-    )
-    return snapshots.facts(spans, {"digest": "digests", "observed": "observed"})
+    order = snapshots.run_order(envelopes)
+    named = envelopes.where("organisation_number IS NOT NULL AND run.run_id IS NOT NULL")
+    at = F.coalesce("received_at", F.lit(EARLIEST).cast("timestamp"))
+    told = named.select(F.col("organisation_number").alias("key"), F.col("run.run_id").alias("run_id"), at.alias("recorded_at")).distinct().join(F.broadcast(order), "run_id")
+    told = told.select("key", "run_no", "recorded_at", F.lit(True).alias("told"))
+    ends = named.groupBy(F.col("run.run_id").alias("run_id")).agg(F.coalesce(F.max("run.completed_at"), F.lit(EARLIEST).cast("timestamp")).alias("recorded_at")).join(F.broadcast(order), "run_id").select("run_no", "recorded_at")
+    runs = ends.agg(F.collect_set("run_no").alias("every"))  # one row, as many numbers as there are runs
+    had = told.groupBy("key").agg(F.collect_set("run_no").alias("had"))
+    silent = had.join(F.broadcast(runs)).select("key", F.explode(F.array_except("every", "had")).alias("run_no"))
+    silent = silent.join(F.broadcast(ends), "run_no").select("key", "run_no", "recorded_at", F.lit(False).alias("told"))
+    stated = told.unionByName(silent)
+    so_far = Window.partitionBy("key").orderBy("recorded_at").rangeBetween(Window.unboundedPreceding, 0)
+    in_time = F.col("told") & (F.max("run_no").over(so_far) == F.col("run_no"))
+    to = F.col("run_no") + F.when(in_time, 2).otherwise(1)
+    return stated.select("key", F.struct("run_no", "told").alias("value"), F.col("run_no").alias("valid_from"), to.alias("valid_to"), "recorded_at")
+
+
+def _facts(envelopes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(entity, id, run_no, digest, observed)`` of ledger rows, a row per fact and run they are valid for.
+
+    Of deliveries with the same run, entity and time the one with the greatest ids and values holds.
+    """
+    heavy = snapshots.deliveries(envelopes, {"observed": "claims.last_observed_at"})
+    heavy = heavy.withColumn("received_at", F.coalesce("received_at", F.lit(EARLIEST).cast("timestamp")))
+    one = heavy.groupBy("entity", F.col("run_no").alias("source"), "received_at").agg(F.max(F.struct("ids", "digests", "observed")).alias("d"))
+    valid = rows.where("value.told").select(
+        F.col("key").alias("entity"), F.col("value.run_no").alias("source"), F.col("recorded_from").alias("received_at"),
+        F.explode(F.sequence("valid_from", F.col("valid_to") - 1)).alias("run_no"),
+    )
+    there = one.join(valid, ["entity", "source", "received_at"]).select("entity", "run_no", "d.*")
+    return snapshots.facts(there, {"digest": "digests", "observed": "observed"})
 
 
 def versions(facts: DataFrame) -> DataFrame:
@@ -104,14 +126,27 @@ def versions(facts: DataFrame) -> DataFrame:
     )
 
 
+def _ended(envelopes: DataFrame, rows: DataFrame, at=None) -> DataFrame:
+    """Ledger rows cut off after the last run, or the last one that had ended at an instant."""
+    ends = envelopes.where("run.run_id IS NOT NULL").groupBy(F.col("run.run_id").alias("run_id")).agg(F.max("run.completed_at").alias("done"))
+    ended = ends.join(F.broadcast(snapshots.run_order(envelopes)), "run_id")
+    ended = ended if at is None else ended.where(F.coalesce(F.col("done") <= at, F.lit(True)))
+    last = ended.agg(F.max("run_no").alias("last"))  # one row
+    cut = rows.join(F.broadcast(last)).withColumn("valid_to", F.least("valid_to", F.col("last") + 1))
+    return cut.where("valid_from < valid_to").drop("last")
+
+
 def current_versions(envelopes: DataFrame) -> DataFrame:
-    """The versions as now on record: the ledger's statements that nothing superseded."""
-    return versions(statements(envelopes).where("NOT superseded"))
+    """The versions as now on record: by the ledger's rows that nothing superseded."""
+    now = ledger(updates(envelopes)).where("recorded_to IS NULL")
+    return versions(_facts(envelopes, _ended(envelopes, now)))
 
 
 def versions_as_recorded(envelopes: DataFrame, at: str) -> DataFrame:
-    """The versions as they were on record at an instant: statements received by then and not yet superseded."""
+    """The versions as they were on record at an instant: by the ledger's rows recorded by then and not superseded by then.
+
+    Of runs that had ended by then, one whose delivery was not yet recorded goes on as the run before it.
+    """
     when = F.lit(at).cast("timestamp")
-    known = F.coalesce(F.col("recorded_from") <= when, F.lit(True))
-    open_then = ~F.col("superseded") | (F.col("recorded_to") > when)
-    return versions(statements(envelopes).where(known & F.coalesce(open_then, F.lit(False))))
+    then = ledger(updates(envelopes)).where((F.col("recorded_from") <= when) & (F.col("recorded_to").isNull() | (F.col("recorded_to") > when)))
+    return versions(_facts(envelopes, _ended(envelopes, then, when)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvern.operators import hierarchy, history, shredding, snapshot_diff
+from kvern.plans.tables import value_sql
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,8 +74,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return changes.select("run_id", F.col("entity").alias("organisation_number"), F.col("id").alias("claim_id"), "change_kind")
 
 
-def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = history.current_versions(spark.read.parquet(f"{folder}/envelopes.parquet"))
+def _versions(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.col("entity").alias("organisation_number"),
         F.col("id").alias("claim_id"),
@@ -83,6 +83,28 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _versions(history.current_versions(spark.read.parquet(f"{folder}/envelopes.parquet")))
+
+
+#: The instant whose state of the record ``p6_as_recorded`` gives: after four runs, before late corrections.
+AS_RECORDED = "2026-04-06 00:00:00"
+
+
+def p6_as_recorded(spark: SparkSession, folder: str) -> DataFrame:
+    """The versions as they were on record at an instant."""
+    return _versions(history.versions_as_recorded(spark.read.parquet(f"{folder}/envelopes.parquet"), AS_RECORDED))
+
+
+def p6_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger itself: which delivery held for which runs, and when that was on record."""
+    rows = history.ledger(history.updates(spark.read.parquet(f"{folder}/envelopes.parquet")))
+    return rows.select(
+        F.col("key").alias("organisation_number"), F.col("value.run_no").alias("run_no"), F.col("value.told").alias("told"), "valid_from", "valid_to",
+        F.unix_seconds("recorded_from").alias("recorded_from"), F.unix_seconds("recorded_to").alias("recorded_to"),
+    )
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_descendants": p2_descendants,
@@ -90,6 +112,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p6_as_recorded": p6_as_recorded,
+    "p6_ledger": p6_ledger,
 }
 
 _LINKS = r"""
@@ -112,7 +136,35 @@ top AS (SELECT node, max(distance) AS depth, arg_max(ancestor, distance) AS root
         WHERE node NOT IN (SELECT node FROM looped) GROUP BY node)
 """
 
+_HELD = f"""runs AS (
+  SELECT run_id, CAST(row_number() OVER (ORDER BY done, run_id) - 1 AS INT) AS run_no, done FROM (
+    SELECT run.run_id AS run_id, max(run.completed_at) AS done FROM envelopes WHERE run.run_id IS NOT NULL AND organisation_number IS NOT NULL GROUP BY 1)),
+given AS (
+  SELECT organisation_number AS entity, run_no, received_at, claims FROM envelopes JOIN runs ON run.run_id = run_id WHERE organisation_number IS NOT NULL)"""
+_OBSERVED = f"""each AS (SELECT entity, run_no, unnest(claims) AS c FROM held),
+fact AS (SELECT entity, run_no, c.id AS id, {value_sql("c.value")} AS same_as, c.last_observed_at AS observed FROM each WHERE c.id IS NOT NULL)"""
+_STRETCHES = """marked AS (SELECT *, CASE WHEN lag(run_no) OVER w = run_no - 1 AND lag(same_as) OVER w = same_as THEN 0 ELSE 1 END AS begins FROM fact WINDOW w AS (PARTITION BY entity, id ORDER BY run_no)),
+numbered AS (SELECT *, sum(begins) OVER (PARTITION BY entity, id ORDER BY run_no) AS version FROM marked)
+SELECT entity AS organisation_number, id AS claim_id, CAST(floor(epoch(arg_min(observed, run_no))) AS BIGINT) AS valid_from,
+  CAST(floor(epoch(arg_max(observed, run_no))) AS BIGINT) AS valid_to FROM numbered GROUP BY entity, id, version"""
+_LAST = "held AS (SELECT entity, run_no, claims FROM given QUALIFY row_number() OVER (PARTITION BY entity, run_no ORDER BY received_at DESC NULLS LAST) = 1)"
+#: Statements with what each covers: its run, and the next one where nothing later was on record for the entity.
+_STATED = """said AS (SELECT DISTINCT entity, run_no, received_at AS at, true AS told FROM given
+  UNION ALL SELECT e.entity, r.run_no, done, false FROM (SELECT DISTINCT entity FROM given) e, runs r WHERE NOT EXISTS (SELECT 1 FROM given g WHERE g.entity = e.entity AND g.run_no = r.run_no)),
+covers AS (SELECT *, run_no + CASE WHEN told AND NOT EXISTS (SELECT 1 FROM said t WHERE t.entity = s.entity AND t.run_no > s.run_no AND t.at <= s.at) THEN 2 ELSE 1 END AS upto FROM said s)"""
+
 ORACLES = {
+    "p5_found": f"""WITH {_HELD}, {_LAST}, {_OBSERVED},
+pairs AS (SELECT coalesce(a.run_no, b.run_no + 1) AS run_no, coalesce(a.entity, b.entity) AS entity, coalesce(a.id, b.id) AS id,
+  CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' WHEN a.same_as <> b.same_as THEN 'changed' END AS change_kind
+  FROM fact a FULL JOIN fact b ON b.run_no = a.run_no - 1 AND b.entity = a.entity AND b.id = a.id)
+SELECT run_id, entity AS organisation_number, id AS claim_id, change_kind FROM pairs JOIN runs USING (run_no) WHERE change_kind IS NOT NULL AND run_no > 0""",
+    "p6_found": f"WITH {_HELD}, {_LAST}, {_OBSERVED}, {_STRETCHES}",
+    "p6_as_recorded": f"""WITH {_HELD}, {_STATED},
+best AS (SELECT c.entity, r.run_no, c.run_no AS source, c.at, c.told FROM covers c JOIN runs r ON r.run_no >= c.run_no AND r.run_no < c.upto
+  WHERE c.at <= TIMESTAMP '{AS_RECORDED}' AND r.done <= TIMESTAMP '{AS_RECORDED}' QUALIFY row_number() OVER (PARTITION BY c.entity, r.run_no ORDER BY c.at DESC, c.run_no DESC) = 1),
+held AS (SELECT b.entity, b.run_no, any_value(g.claims) AS claims FROM best b JOIN given g ON g.entity = b.entity AND g.run_no = b.source AND g.received_at = b.at WHERE b.told GROUP BY 1, 2),
+{_OBSERVED}, {_STRETCHES}""",
     "p2_found": _LINKS
     + """SELECT l.node AS organisasjonsnummer,
   CASE WHEN p.node IS NOT NULL THEN '' ELSE coalesce(t.root, l.node) END AS root,
