@@ -9,23 +9,22 @@ from kvern.operators import hierarchy, history, shredding, snapshot_diff
 from kvern.plans.tables import value_sql
 
 
+_CHILD, _PARENT, _AT = "organisasjonsnummer", "parentOrganisasjonsnummer", "received_at"
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    links = spark.read.parquet(f"{folder}/group_links.parquet")
-    nodes = hierarchy.build_hierarchy(links, "organisasjonsnummer", "parentOrganisasjonsnummer", "received_at")
+    nodes = hierarchy.build_hierarchy(spark.read.parquet(f"{folder}/group_links.parquet"), _CHILD, _PARENT, _AT, paths=False)
     return nodes.select(F.col("node").alias("organisasjonsnummer"), "root", "depth", "status")
 
 
-def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    links = spark.read.parquet(f"{folder}/group_links.parquet")
-    nodes = hierarchy.build_hierarchy(links, "organisasjonsnummer", "parentOrganisasjonsnummer", "received_at")
-    return hierarchy.descendants(nodes)
+def p2_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Each organisation's path from the root and the size of what is below it, itself included; null on a circle."""
+    nodes = hierarchy.build_hierarchy(spark.read.parquet(f"{folder}/group_links.parquet"), _CHILD, _PARENT, _AT)
+    return nodes.select(F.col("node").alias("organisasjonsnummer"), F.array_join("path", "/").alias("path"), "subtree_size")
 
 
-def p2_descendants_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``p2_descendants``, with the pairs of nodes on and below circles, which its SQL leaves out."""
-    links = spark.read.parquet(f"{folder}/group_links.parquet")
-    nodes = hierarchy.build_hierarchy(links, "organisasjonsnummer", "parentOrganisasjonsnummer", "received_at")
-    return hierarchy.all_descendants(nodes)
+def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    return hierarchy.descendants(spark.read.parquet(f"{folder}/group_links.parquet"), _CHILD, _PARENT, _AT)
 
 
 def workplace_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,7 +107,7 @@ def p6_ledger(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_descendants": p2_descendants,
-    "p2_descendants_whole": p2_descendants_whole,
+    "p2_paths": p2_paths,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
@@ -172,8 +171,11 @@ held AS (SELECT b.entity, b.run_no, any_value(g.claims) AS claims FROM best b JO
   CASE WHEN c.node IS NOT NULL THEN 'cycle' WHEN p.node IS NOT NULL THEN 'below_cycle' ELSE 'tree' END AS status
 FROM links l LEFT JOIN looped p ON p.node = l.node LEFT JOIN circle c ON c.node = l.node LEFT JOIN top t ON t.node = l.node""",
     "p2_descendants": _LINKS
-    + """SELECT ancestor, node AS descendant, CAST(distance AS BIGINT) AS distance FROM walk
-WHERE node NOT IN (SELECT node FROM looped)""",
+    + """SELECT ancestor, node AS descendant, CAST(min(distance) AS BIGINT) AS distance FROM walk WHERE node <> ancestor GROUP BY ALL""",
+    "p2_paths": _LINKS
+    + """SELECT l.node AS organisasjonsnummer, CASE WHEN p.node IS NOT NULL THEN '' ELSE coalesce((SELECT string_agg(w.ancestor, '/' ORDER BY w.distance DESC) FROM walk w WHERE w.node = l.node) || '/', '') || l.node END AS path,
+  CASE WHEN c.node IS NULL THEN CAST(1 + (SELECT count(DISTINCT w.node) FROM walk w WHERE w.ancestor = l.node) AS BIGINT) END AS subtree_size
+FROM links l LEFT JOIN looped p ON p.node = l.node LEFT JOIN circle c ON c.node = l.node""",
     "p3_found": r"""
 WITH units AS (
   SELECT record_id, unnest(_embedded.underenheter) AS u, generate_subscripts(_embedded.underenheter, 1) - 1 AS item_pos

@@ -35,6 +35,11 @@ def naive(rows):
     return out
 
 
+@pytest.fixture(params=[hierarchy.TAIL_BYTES, 0], ids=["tail in one task", "batches only"], autouse=True)
+def tail(request, monkeypatch):
+    monkeypatch.setattr(hierarchy, "TAIL_BYTES", request.param)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_random_forests_equal_a_walk(spark, seed):
     rnd = random.Random(seed)
@@ -48,8 +53,9 @@ def test_random_forests_equal_a_walk(spark, seed):
         assert (r.root, r.depth) == ((path[0], len(path) - 1) if status == "tree" else ("", -1))
         if status == "tree":
             assert r.subtree_size == sum(node in p for s, p in expected.values())
-    pairs = {(r.ancestor, r.descendant, r.distance) for r in hierarchy.descendants(out).collect()}
-    assert pairs == {(p[k], p[-1], len(p) - 1 - k) for s, p in expected.values() for k in range(len(p) - 1)}
+    pairs = {(r.ancestor, r.descendant, r.distance) for r in hierarchy.descendants(spark.createDataFrame(rows, COLUMNS), "child", "parent", "at").collect()}
+    inside = {n for n, (s, _) in expected.items() if s == "tree"}
+    assert {p for p in pairs if p[1] in inside} == {(p[k], p[-1], len(p) - 1 - k) for s, p in expected.values() for k in range(len(p) - 1)}
 
 
 def walked(rows):
@@ -73,8 +79,8 @@ def test_nodes_on_and_below_circles_have_their_pairs(spark):
     rows = [(f"c{k}", f"c{(k + 1) % 7}", 0) for k in range(7)] + [("d0", "d1", 0), ("d1", "d0", 0), ("s", "s", 0)]
     rows += [(f"n{k}", rnd.choice(["c3", "d0", "s", "top", *(f"n{j}" for j in range(k))]), 0) for k in range(60)]
     rows += [(f"deep{k}", f"deep{k - 1}" if k else "c1", 0) for k in range(20)]  # deeper than a batch
-    _, out = build(spark, rows)
-    got = [tuple(r) for r in hierarchy.all_descendants(out).select("ancestor", "descendant", "distance").collect()]
+    frame = spark.createDataFrame(rows, COLUMNS)
+    got = [tuple(r) for r in hierarchy.descendants(frame, "child", "parent", "at").select("ancestor", "descendant", "distance").collect()]
     assert len(got) == len(set(got)) and set(got) == walked(rows)
 
 
