@@ -22,7 +22,9 @@ def _companies(spark: SparkSession, folder: str) -> DataFrame:
         F.max(F.when(F.col("field") == "financial_annual_result", F.col("amount"))).alias("annual_result"),
     )
     jobs = now.where("field = 'job_posting' AND NOT coalesce(stale, false)").select(F.col("entity").alias("hirer")).distinct()
-    base = tables.entities(spark, folder).join(wide, F.col("organisasjonsnummer") == F.col("entity"), "left")
+    sites = now.where("field = 'official_website' AND availability = 'available' AND NOT coalesce(stale, false)").select(F.col("entity").alias("site_of")).distinct()
+    known = tables.entities(spark, folder).join(sites, F.col("organisasjonsnummer") == F.col("site_of"), "left")
+    base = known.join(wide, F.col("organisasjonsnummer") == F.col("entity"), "left")
     return base.join(jobs, F.col("organisasjonsnummer") == F.col("hirer"), "left").select(
         F.col("organisasjonsnummer").alias("org"),
         F.col("navn").alias("name"),
@@ -32,7 +34,7 @@ def _companies(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("harRegistrertAntallAnsatte"), F.col("antallAnsatte")).alias("employees"),
         "revenue",
         "annual_result",
-        F.col("hjemmeside").isNotNull().alias("website"),
+        F.col("site_of").isNotNull().alias("website"),
         F.col("revenue").isNotNull().alias("financials"),
         F.col("hirer").isNotNull().alias("hiring"),
     )
@@ -43,10 +45,11 @@ latest AS (SELECT * FROM amount QUALIFY row_number() OVER (PARTITION BY entity,
 wide AS (SELECT entity, max(amount) FILTER (field = 'financial_revenue') AS revenue, max(amount) FILTER (field = 'financial_annual_result') AS annual_result
   FROM latest GROUP BY entity),
 jobs AS (SELECT DISTINCT entity AS hirer FROM current_claim WHERE field = 'job_posting' AND NOT coalesce(stale, false)),
+sites AS (SELECT DISTINCT entity AS site_of FROM current_claim WHERE field = 'official_website' AND availability = 'available' AND NOT coalesce(stale, false)),
 company AS (SELECT organisasjonsnummer AS org, navn AS name, municipality, form AS legal_form, industry,
-    CASE WHEN harRegistrertAntallAnsatte THEN antallAnsatte END AS employees, revenue, annual_result, hjemmeside IS NOT NULL AS website,
+    CASE WHEN harRegistrertAntallAnsatte THEN antallAnsatte END AS employees, revenue, annual_result, site_of IS NOT NULL AS website,
     revenue IS NOT NULL AS financials, hirer IS NOT NULL AS hiring
-  FROM entity LEFT JOIN wide ON organisasjonsnummer = wide.entity LEFT JOIN jobs ON organisasjonsnummer = hirer)
+  FROM entity LEFT JOIN wide ON organisasjonsnummer = wide.entity LEFT JOIN sites ON organisasjonsnummer = site_of LEFT JOIN jobs ON organisasjonsnummer = hirer)
 """
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kvern.functions import text
 from kvern.operators import facts, hosts, ranking
+from kvern.session import Stage
 from kvern.plans.tables import table
 from kvern.sources import inputs, jobfeed
 from kvern.streaming import feed
@@ -98,6 +99,14 @@ def input_dedup_expand(spark: SparkSession, folder: str) -> DataFrame:
     return inputs.back_to_entries(rows, done)
 
 
+def inputs_listed(spark: SparkSession, folder: str) -> DataFrame:
+    """A list of numbers written as rows with a header, and read as one of unknown form."""
+    rows = table(spark, folder, "entities").select(F.col("navn"), F.col("organisasjonsnummer").alias("orgnr"))
+    stage = Stage(spark, "inputs")
+    rows.write.csv(stage.path("list"), sep=";", header=True, quoteAll=True)
+    return inputs.read_inputs(spark, stage.path("list")).select("entry", "org", "valid")
+
+
 def stream_latest_state(spark: SparkSession, folder: str) -> DataFrame:
     """The same rows as ``feed_latest_state``, worked off as a stream."""
     stream = feed.read(spark, f"{folder}/job_entries.parquet")
@@ -124,7 +133,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         feed_latest_state, feed_closed, feed_since_cursor, feed_nominate_default_active, ads_by_employer, ads_of_registered, ads_not_known, token_theta_join,
-        newest_ten, round_robin, running_budget, context_of_two, runtime_p50_p95, input_dedup_expand, stream_latest_state, stream_daily_windows, stream_upsert_state,
+        newest_ten, round_robin, running_budget, context_of_two, runtime_p50_p95, input_dedup_expand, inputs_listed, stream_latest_state, stream_daily_windows, stream_upsert_state,
     )
 }
 
@@ -156,6 +165,7 @@ ORACLES = {
     "context_of_two": "SELECT event_id, array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING), '>') AS context FROM events",
     "runtime_p50_p95": """WITH s AS (SELECT l_quantity AS q, row_number() OVER (ORDER BY l_quantity) - 1 AS i, count(*) OVER () AS n FROM lineitem WHERE l_quantity IS NOT NULL)
       SELECT (SELECT median(l_quantity) FROM lineitem) AS p50, (SELECT q FROM s WHERE i = least(n - 1, CAST(floor(0.95 * n) AS BIGINT))) AS p95""",
+    "inputs_listed": "SELECT organisasjonsnummer AS entry, organisasjonsnummer AS org, true AS valid FROM entities WHERE organisasjonsnummer IS NOT NULL",
     "input_dedup_expand": "SELECT o_custkey AS org, o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
     "stream_latest_state": _LATEST,
     "stream_daily_windows": """SELECT strftime(d, '%Y-%m-%d') AS day, event_type, n FROM (SELECT date_trunc('day', ts) AS d, event_type, count(*) AS n FROM events GROUP BY ALL)

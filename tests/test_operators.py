@@ -19,7 +19,11 @@ from kvern.operators.screen import Filter, parse
         ('companies with industry "bygg" hiring', [("hiring", "present", True), ("industry", "contains", "bygg")]),
         ("less than 100 mnok turnover", [("revenue", "<", 100_000_000)]),
         ("revenue above 1 million and revenue below 5 million", None), ("companies with good culture", None), ("happy companies", None), ("", None), ("companies without a website", None),
-        ("revenue over 1,000,000", None),
+        ("revenue over 1,000,000", None), ("firms in Bergen with employees > 12", [("municipality", "eq", "BERGEN"), ("employees", ">", 12)]), ("legal form = KS", [("legal_form", "eq", "KS")]),
+        ("organisation form is IKS", [("legal_form", "eq", "IKS")]), ("companies with revenue >= NOK 40 million", [("revenue", ">=", 40_000_000)]),
+        ("companies with less than 3 million revenue", [("revenue", "<", 3_000_000)]), ("turnover under nok 5 000 000", [("revenue", "<", 5_000_000)]),
+        ("more than 2 bn in revenue located in Nordre Land", [("municipality", "eq", "NORDRE LAND"), ("revenue", ">", 2_000_000_000)]),
+        ("rank firms by LinkedIn growth", None), ("who has the best Glassdoor score", None), ("more than 5", None), ("loss-making firms in Norway", [("annual_result", "<", 0)]),
     ],
 )
 def test_plans(question, filters):

@@ -11,6 +11,8 @@ def test_input_lists_in_all_forms(spark, tmp_path):
     forms = {
         "a.json": '["923609016", {"orgnr": "990 888 213"}, 5]', "b.json": '{"companies": [{"Organisasjonsnummer": "984862296"}]}', "c.jsonl": '{"org": "923609016"}\n\n{"x": 1}\n"990888213"',
         "d.csv": 'navn;orgnr\n"A; B";923609016\nC;990888213', "e.tsv": "org nr\tx\n923609016\ty", "f.txt": "923609016\nbad\n", "g.txt": "",
+        "h.csv": '"organisation_number"\n"923609016"\n', "i.json": '{\n "organisation_numbers": [\n  "923609016",\n  {"ORGNR": 990888213}\n ]\n}\n', "j.txt": '{"organisation_number": broken\n923 609 016\nnot-a-number\n',
+        "k.tsv": "name\torganisasjonsnummer\nExample\t923609016\n",
     }
     for name, body in forms.items():
         (tmp_path / name).write_text(body, encoding="utf-8")
@@ -22,6 +24,9 @@ def test_input_lists_in_all_forms(spark, tmp_path):
     assert by["a"] == [("923609016", True), ("990888213", True), ("5", False)] and by["b"] == [("984862296", True)]
     assert [x for x in rows if x.file.endswith("c.jsonl")] and {r.entry for r in rows if r.file.endswith("c.jsonl")} == {"923609016", "", "990888213"}
     assert by["d"] == [("923609016", True), ("990888213", True)] and by["e"] == [("923609016", True)] and by["f"] == [("923609016", True), ("bad", False)]
+    assert by["h"] == [("923609016", True)] and by["i"] == [("923609016", True), ("990888213", True)] and by["k"] == [("923609016", True)]
+    assert [x[1] for x in by["j"]] == [False, True, False] and "g" not in by
+    assert all([r.position for r in sorted((r for r in rows if r.file.endswith(n)), key=lambda r: r.position)] == list(range(len(by[n[0]]))) for n in forms if n[0] in by)
 
 
 HTML = """<html lang="nb"><head><title>Om &amp; oss</title><meta name="description" content="Kort"><link rel="canonical" href="/om">
