@@ -1,14 +1,17 @@
 """Registered workplaces and employers of job ads, matched without a shared key.
 
-A cascade of exact joins: the first rule uses the strongest attributes, each next
-one weaker combinations, over the ads that no rule has resolved yet.  An attribute
-that several firms share is no key of a rule, so every join finds at most one
-workplace for an ad and no join multiplies rows.  A rule's confidence is its
-precision on ads whose employer number is given, smoothed.
+A cascade of exact joins in passes: the first uses the strongest attributes, site and
+mail hosts; the next one names, labels and mails with the town; the last one words
+that are near.  Ads that a pass resolved are anti-joined before the next.  Within a pass
+all rules are one join: an ad has a row per rule and key, and the other side has one
+row per key, which tells whether the key belongs to one workplace or to several.  So no
+join multiplies rows, and nothing is broadcast.  A rule's confidence is its precision
+on ads whose employer number is given, smoothed towards that of all rules.
 
 Attributes are taken apart row by row; hosts shared by several firms (mail
 providers) and sites that carry ads of many employers (job boards) are found by
-counting over all rows.
+counting over all rows.  A job board may carry a third of all ads: its host is a key
+with one row on the other side, so the skewed partition is split and nothing but that row repeated.
 """
 
 from __future__ import annotations
@@ -18,15 +21,15 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvern.session import Stage
 
 BOARD_EMPLOYERS = 10  # first path steps on a site of no registered firm that make it a job board
-PRIOR_RIGHT, PRIOR_ALL = 2.0, 2.5  # smoothing of a rule's labelled precision: as if 2.5 labels had been seen, 2 of them right
+PRIOR = 5.0  # smoothing of a rule's labelled precision: as if so many labels of all rules' precision had been seen
 MIN_CONFIDENCE = 0.5
-BROADCAST_ROWS = 200_000  # workplaces up to which the rules' tables, of at most a row per workplace and word, are broadcast
 
 #: Short forms of company kinds, and hosts' parts that name no firm.
 KINDS = frozenset("as asa ans da enk sa sti ba nuf iks kf fli stift a s".split())
@@ -68,10 +71,9 @@ def name_words(name: str | None, places: set[str | None]) -> tuple[list[str], st
     return words, place
 
 
-def _deletions(word: str) -> Column:
-    """A column's word and each form with one letter left out: two words one slip apart share one of these."""
-    shorter = f"transform(sequence(1, length({word})), i -> concat(substring({word}, 1, i - 1), substring({word}, i + 1)))"
-    return F.expr(f"array_distinct(array_append({shorter}, {word}))")
+def _deletions(word: str) -> set[str]:
+    """A word and each form with one letter left out: two words one slip apart share one of these."""
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
 def _keys(name: str | None, places: set[str | None], host: str | None) -> dict[str, str | None]:
@@ -86,38 +88,54 @@ def _keys(name: str | None, places: set[str | None], host: str | None) -> dict[s
         "tokens": " ".join(sorted(plain)) if len(plain) > 1 else None,
         "first": first,
         "last": plain[-1] if len(plain) > 1 else None,
-        "initial": f"{first[0]} {plain[-1]}" if first and len(plain) > 1 else None,
         "short": first if short else None,
         "label": label,
         "joined": "".join(plain) or None,
     }
 
 
-_AD = "uuid string, town string, host string, step string, mail string, mail_host string, core string, tokens string, first string, last string, initial string, short string, label string, words array<string>, ends string, before string, employer string"
-_UNIT = "org string, firm string, town string, host string, mail string, mail_host string, core string, tokens string, first string, last string, initial string, joined string"
+#: The rules in the order of the passes.  Those of the last pass may have several keys that lead to different workplaces.
+RULES = (
+    "site", "mail host",
+    "mail and town", "name and town", "name with town", "site label and town", "board step and town", "name words and town", "first word and town",
+    "any word and town", "slip in name and town", "abbreviation and town",
+)
+FIRST_NAMED, FIRST_NEAR = 2, 9
+SURE_KEYS = (9,)  # of a near rule with single keys only: a key of several workplaces is none
+
+_AD = "uuid string, towns array<string>, host string, step string, mails array<string>, mail_hosts array<string>, core string, tokens string, first string, last string, short string, label string, words array<string>, ends string, before string, employer string"
+_UNIT = "org string, firm string, town string, host string, mail string, mail_host string, core string, tokens string, first string, last string, joined string"
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "array<string>": pa.list_(pa.string()), "int": pa.int32()}
+    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in ddl.split(", ")])
+
+
+def _batch(rows: list[dict], ddl: str) -> pa.RecordBatch:
+    schema = _arrow(ddl)
+    return pa.RecordBatch.from_pydict({n: [r[n] for r in rows] for n in schema.names}, schema=schema)
 
 
 def _take_apart_ads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f.split()[0] for f in _AD.split(", ")]
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
             host, step = site_parts(r["homepage"])
-            mails = [m for m in (mail_parts(x) for x in r["mails"] or ()) if m[0]]
-            mail, mail_host = mails[0] if mails else (None, None)
-            town, area = town_key(r["city"]), town_key(r["municipal"])
-            k = _keys(r["name"], {town, area} - {None}, host)
+            mails = [m for m in map(mail_parts, r["mails"] or ()) if m[0]]
+            towns = list(dict.fromkeys(t for t in map(town_key, r["cities"] or ()) if t))
+            areas = {town_key(x) for x in (*(r["cities"] or ()), *(r["municipals"] or ()))} - {None}
+            k = _keys(r["name"], areas, host)
             words = (k["core"] or "").split()
             # without a town, the name's last word or the site's step may be one: the joins will tell
-            ends, before = (words[-1], " ".join(words[:-1])) if not town and len(words) > 1 else (None, None)
+            ends, before = (words[-1], " ".join(words[:-1])) if not towns and len(words) > 1 else (None, None)
             employer = r["employer"] if r["employer"] and r["employer"].strip("0 ") else None
-            own = {"uuid": r["uuid"], "town": town, "host": host, "step": step, "mail": mail, "mail_host": mail_host, "words": words, "ends": ends, "before": before, "employer": employer}
-            rows.append(own | k)
-        yield pa.RecordBatch.from_pydict({n: [r[n] for r in rows] for n in names}, schema=_arrow(_AD))
+            own = {"uuid": r["uuid"], "towns": towns, "host": host, "step": step, "mails": list(dict.fromkeys(m for m, _ in mails)), "mail_hosts": list(dict.fromkeys(h for _, h in mails))}
+            rows.append(own | {"words": words, "ends": ends, "before": before, "employer": employer} | k)
+        yield _batch(rows, _AD)
 
 
 def _take_apart_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f.split()[0] for f in _UNIT.split(", ")]
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
@@ -125,188 +143,217 @@ def _take_apart_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             mail, mail_host = mail_parts(r["mail"])
             town, area = town_key(r["town"]), town_key(r["municipal"])
             rows.append({"org": r["org"], "firm": r["firm"] or r["org"], "town": town, "host": host, "mail": mail, "mail_host": mail_host} | _keys(r["name"], {town, area} - {None}, host))
-        yield pa.RecordBatch.from_pydict({n: [r[n] for r in rows] for n in names}, schema=_arrow(_UNIT))
-
-
-def _arrow(ddl: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "array<string>": pa.list_(pa.string())}
-    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in ddl.split(", ")])
+        yield _batch(rows, _UNIT)
 
 
 def workplaces(pages: DataFrame) -> DataFrame:
     """One row per registered workplace, as it was last fetched, with its attributes."""
     unit = F.explode("_embedded.underenheter").alias("u")
     rows = pages.select("retrieved_at", "record_id", unit).where("u.organisasjonsnummer IS NOT NULL")
-    last = rows.groupBy(F.col("u.organisasjonsnummer").alias("org")).agg(F.max_by("u", F.struct("retrieved_at", "record_id")).alias("u"))
-    flat = last.select(
-        "org",
-        F.col("u.overordnetEnhet").alias("firm"),
-        F.col("u.navn").alias("name"),
-        F.col("u.beliggenhetsadresse.poststed").alias("town"),
-        F.col("u.beliggenhetsadresse.kommune").alias("municipal"),
-        F.col("u.epostadresse").alias("mail"),
-        F.col("u.hjemmeside").alias("homepage"),
-    )
-    return flat.mapInArrow(_take_apart_units, _UNIT)
+    needed = F.struct(
+        F.col("u.overordnetEnhet").alias("firm"), F.col("u.navn").alias("name"), F.col("u.beliggenhetsadresse.poststed").alias("town"),
+        F.col("u.beliggenhetsadresse.kommune").alias("municipal"), F.col("u.epostadresse").alias("mail"), F.col("u.hjemmeside").alias("homepage"),
+    )
+    slim = rows.select(F.col("u.organisasjonsnummer").alias("org"), "retrieved_at", "record_id", needed.alias("u"))
+    last = slim.groupBy("org").agg(F.max_by("u", F.struct("retrieved_at", "record_id")).alias("u"))
+    return last.select("org", "u.*").mapInArrow(_take_apart_units, _UNIT)
 
 
 def ads(entries: DataFrame) -> DataFrame:
-    """One row per ad, as it was last delivered, with its employer's attributes.  A null uuid is none."""
+    """One row per ad, as it was last delivered, with its employer's attributes: all its towns and mails.  A null uuid is none."""
+    needed = F.struct(
+        F.col("ad_content.employer.orgnr").alias("employer"), F.col("ad_content.employer.name").alias("name"), F.col("ad_content.employer.homepage").alias("homepage"),
+        F.col("ad_content.workLocations.city").alias("cities"), F.col("ad_content.workLocations.municipal").alias("municipals"), F.col("ad_content.contactList.email").alias("mails"),
+    )
     order = F.struct("received_at", "sistEndret", F.xxhash64("ad_content"))
-    last = entries.where("uuid IS NOT NULL").groupBy("uuid").agg(F.max_by("ad_content", order).alias("a"))
-    place = F.get("a.workLocations", F.lit(0))
-    flat = last.select(
-        "uuid",
-        F.col("a.employer.orgnr").alias("employer"),
-        F.col("a.employer.name").alias("name"),
-        F.col("a.employer.homepage").alias("homepage"),
-        place["city"].alias("city"),
-        place["municipal"].alias("municipal"),
-        F.col("a.contactList.email").alias("mails"),
+    slim = entries.where("uuid IS NOT NULL").select("uuid", order.alias("at"), needed.alias("a"))
+    return slim.groupBy("uuid").agg(F.max_by("a", "at").alias("a")).select("uuid", "a.*").mapInArrow(_take_apart_ads, _AD)
+
+
+def host_owners(units: DataFrame, entries: DataFrame, entities: DataFrame | None) -> DataFrame:
+    """``(host, firm, open)``: the firm that a host belongs to, null where several do or none; whether it is open to all.
+
+    Hosts of several firms are mail providers or the like; sites of no firm with ads under many steps are job boards.
+    """
+    of_firm = units.select("firm", F.explode(F.array("host", "mail_host")).alias("host"))
+    if entities is not None:
+        none = F.lit(None).cast("string")
+        flat = entities.select(F.col("organisasjonsnummer").alias("org"), none.alias("firm"), none.alias("name"), none.alias("town"), none.alias("municipal"), F.col("epostadresse").alias("mail"), F.col("hjemmeside").alias("homepage"))
+        legal = flat.where("org IS NOT NULL").mapInArrow(_take_apart_units, _UNIT)
+        own = legal.join(units.select("firm").distinct(), "firm", "left_semi").select("firm", F.explode(F.array("host", "mail_host")).alias("host"))
+        of_firm = of_firm.unionByName(own)
+    firms = of_firm.where("host IS NOT NULL").groupBy("host").agg(F.min("firm").alias("lo"), F.max("firm").alias("hi"))
+    steps = entries.where("host IS NOT NULL AND step IS NOT NULL").select("host", "step").distinct().groupBy("host").agg(F.count("*").alias("steps"))
+    both = firms.join(steps, "host", "full_outer")
+    single = F.col("lo") == F.col("hi")
+    is_open = F.when(F.col("lo").isNull(), F.col("steps") >= BOARD_EMPLOYERS).otherwise(~single)
+    return both.select("host", F.when(single, F.col("lo")).alias("firm"), is_open.alias("open")).where("open OR firm IS NOT NULL")
+
+
+def _flagged(entries: DataFrame, owners: DataFrame) -> DataFrame:
+    """Ads with ``board``, ``bare`` (neither a site nor a mail host of its own), ``firm`` and the rule that told it."""
+    hosts = F.concat(
+        F.when(F.col("host").isNotNull(), F.array(F.struct(F.lit(0).alias("kind"), F.col("host").alias("host")))).otherwise(F.array()),
+        F.transform("mail_hosts", lambda h: F.struct(F.lit(1).alias("kind"), h.alias("host"))),
     )
-    return flat.mapInArrow(_take_apart_ads, _AD)
+    met = entries.select("uuid", F.explode(hosts).alias("h")).select("uuid", "h.*").join(owners, "host", "left")
+    closed = ~F.coalesce("open", F.lit(False))
+    site, mail = F.col("kind") == 0, F.col("kind") == 1
+    told = met.groupBy("uuid").agg(
+        F.max(site & ~closed).alias("board"), F.max(closed).alias("own"), F.max(F.when(site & closed, F.col("firm"))).alias("site_firm"),
+        F.min(F.when(mail & closed, F.col("firm"))).alias("lo"), F.max(F.when(mail & closed, F.col("firm"))).alias("hi"),
+    )
+    mail_firm = F.when(F.col("lo") == F.col("hi"), F.col("lo"))
+    return entries.join(told, "uuid", "left").select(
+        *entries.columns, F.coalesce("board", F.lit(False)).alias("board"), (~F.coalesce("own", F.lit(False))).alias("bare"),
+        F.coalesce("site_firm", mail_firm).alias("firm"), F.when(F.col("site_firm").isNotNull(), 0).when(mail_firm.isNotNull(), 1).alias("rule"),
+    )
+
 
+def _of_firms(named: DataFrame, units: DataFrame, alone: DataFrame) -> DataFrame:
+    """``(uuid, rule, org)`` of ads whose firm is known: its workplace in the ad's town, the first of its towns where there are several.
+
+    Without a town: the firm's only workplace, or the one in a town that the name's last word or the site's step names.
+    """
+    places = units.where("town IS NOT NULL").groupBy("firm", "town").agg(F.min("org").alias("org"))
+    places = places.unionByName(alone.select("firm", F.lit("").alias("town"), "org"))
+    wanted = F.when(F.size("towns") > 0, F.col("towns")).otherwise(F.array(F.lit(""), "ends", "step"))
+    tried = named.select("uuid", "rule", "firm", F.posexplode(wanted).alias("turn", "town")).where("town IS NOT NULL")
+    hits = tried.join(places, ["firm", "town"])
+    return hits.groupBy("uuid").agg(F.min(F.struct("turn", "rule", "org")).alias("m")).select("uuid", "m.rule", "m.org")
 
-def _only(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``(keys, value)`` where the keys belong to a single value; a key with a null part is none."""
-    there = rows.where(" AND ".join(f"{k} IS NOT NULL" for k in [*keys, value]))
-    counted = there.groupBy(*keys).agg(F.min(value).alias(value), F.max(value).alias("other"))
-    return counted.where(F.col(value) == F.col("other")).drop("other")
 
+_KEY = "rule int, key bigint"
 
-def _spread(key: Column, number: Column) -> Column:
-    """A key for a left join; rows without a key get one of their own, so that they don't meet in one task."""
-    return F.coalesce(key, F.concat(F.lit("\x00"), number))
 
+def _key(rule: int, *parts: str) -> int:
+    """A rule's key as a 64-bit hash: joins and aggregations over numbers stay in generated code."""
+    return xxhash.xxh3_64_intdigest("\x1f".join((str(rule), *parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
-def _pass(open_ads: DataFrame, table: DataFrame, keys: list[Column], rule: str, allowed: Column | None = None) -> DataFrame:
-    """One join of the cascade: ads that no rule has resolved meet ``table (k0, k1, ..., hit)``; hits get the rule's name."""
-    free = F.col("rule").isNull() & (F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False)))
-    whole = free
-    for k in keys:
-        whole = whole & k.isNotNull()
-    joined = open_ads.withColumn("k0", _spread(F.when(whole, keys[0]), F.col("uuid")))
-    names = ["k0"]
-    for i, k in enumerate(keys[1:], 1):
-        joined = joined.withColumn(f"k{i}", F.coalesce(k, F.lit("")))
-        names.append(f"k{i}")
-    found = joined.join(table, names, "left")
-    hit = F.col("hit").isNotNull()
-    return found.withColumn("rule", F.when(hit, F.lit(rule)).otherwise(F.col("rule"))).withColumn(
-        "found", F.when(hit, F.col("hit")).otherwise(F.col("found"))
-    ).drop("hit", *names)
 
+def _near_keys(first: str | None, last: str | None, town: str) -> Iterator[tuple[int, int]]:
+    """A workplace's keys of the last pass: its first word; that with a slip, before its last word or none; any beginning of the first.
 
-def _table(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return _only(rows, keys, value).select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(value).alias("hit"))
+    A last word that an ad cuts off is told by its beginnings, without a slip.
+    """
+    if first and len(first) > 3:
+        yield 9, _key(9, first, town)
+    if first and len(first) > 4:
+        for form in _deletions(first):
+            yield 10, _key(10, form, last or "", town)
+            if last:
+                yield 10, _key(10, form, "", town)
+        for end in range(1, len(last or "")):
+            yield 10, _key(10, first, last[:end], town)
+    if first and last:
+        for end in range(1, len(first) + 1):
+            yield 11, _key(11, first[:end], last, town)
+
+
+def _pairs_batch(found: list[tuple[int, int, int]], last: str) -> pa.RecordBatch:
+    columns = [pa.array([f[k] for f in found], t) for k, t in ((0, pa.int32()), (1, pa.int64()), (2, pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["rule", "key", last])
+
+
+def _unit_keys(near: bool):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for u in batch.to_pylist():
+                town, found = u["town"], []
+                if near and town:
+                    found += _near_keys(u["first"], u["last"], town)
+                if not near:
+                    for place in ([town] if town else []) + ([""] if u["alone"] else []):
+                        found += [(rule, _key(rule, u[c], place)) for rule, c in ((2, "mail"), (3, "core")) if u[c]]
+                        found += [(5, _key(5, x, place)) for x in {u["joined"], u["first"]} if x]
+                    if town:
+                        found += [(rule, _key(rule, u[c], town)) for rule, c in ((4, "core"), (6, "first"), (7, "tokens"), (8, "first")) if u[c]]
+                rows += [(r, k, u["id"]) for r, k in found]
+            yield _pairs_batch(rows, "id")
+
+    return keys
+
+
+def _ad_keys(near: bool):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a in batch.to_pylist():
+                found: set[tuple[int, int]] = set()
+                if near:
+                    first, last = a["first"], a["last"] or ""
+                    for town in a["towns"]:
+                        found |= {(9, _key(9, w, town)) for w in a["words"]}
+                        if first and len(first) > 4:
+                            found |= {(10, _key(10, form, last, town)) for form in _deletions(first)}
+                        if a["short"] and last:
+                            found.add((11, _key(11, a["short"], last, town)))
+                else:
+                    for town in a["towns"] or [""]:
+                        found |= {(2, _key(2, m, town)) for m in a["mails"]}
+                        if a["core"]:
+                            found.add((3, _key(3, a["core"], town)))
+                        if a["label"] and not a["board"]:
+                            found.add((5, _key(5, a["label"], town)))
+                    if a["before"]:
+                        found.add((4, _key(4, a["before"], a["ends"])))
+                    for town in a["towns"]:
+                        if a["board"] and a["step"]:
+                            found.add((6, _key(6, a["step"], town)))
+                        if a["bare"]:
+                            found |= {(rule, _key(rule, a[c], town)) for rule, c in ((7, "tokens"), (8, "first")) if a[c]}
+                rows += [(r, k, a["ad"]) for r, k in found]
+            yield _pairs_batch(rows, "ad")
+
+    return keys
+
+
+def _pass(open_ads: DataFrame, units: DataFrame, near: bool) -> DataFrame:
+    """``(uuid, rule, org)``: the first rule of a pass by which an ad meets a single workplace."""
+    table = units.mapInArrow(_unit_keys(near), _KEY + ", id bigint").groupBy("rule", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    single = F.col("lo") == F.col("hi")
+    table = table.where(~F.col("rule").isin(*SURE_KEYS) | single if near else single)
+    met = open_ads.mapInArrow(_ad_keys(near), _KEY + ", ad bigint").join(table, ["rule", "key"])
+    each = met.groupBy("ad", "rule").agg(F.min("lo").alias("id"), F.max("hi").alias("hi")).where("id = hi")
+    found = each.groupBy("ad").agg(F.min("rule").alias("rule"), F.min_by("id", "rule").alias("id"))
+    return found.join(units.select("id", "org"), "id").join(open_ads.select("ad", "uuid"), "ad").select("uuid", "rule", "org")
 
 
 def match(pages: DataFrame, entries: DataFrame, entities: DataFrame | None = None) -> DataFrame:
-    """``(organisasjonsnummer, uuid, rule, confidence)``: at most one workplace per ad.
+    """``(organisasjonsnummer, uuid, rule, firm_confidence, place_confidence, confidence)``: at most one workplace per ad.
 
     Rules that name a firm (by site or mail host) settle the ad: the workplace is the
     firm's one in the ad's town, its only one where the ad gives no town, else none.
     Weaker rules need the town and hold only for ads without a site of their own that
     no firm registered.  Of two workplaces of a firm in one town the lower number is
-    taken.  Rows with nulls simply lack the rules that need what is missing; repeated
-    rows count once; empty tables give no rows.  Runs jobs.
+    taken, and ``place_confidence`` is one by their number.  ``firm_confidence`` is the
+    rule's labelled precision; labels name the firm only.  ``confidence`` is their product.
+    Rows with nulls simply lack the rules that need what is missing; repeated
+    rows count once; empty tables give no rows; other columns are not read.  Runs jobs.
     """
     stage = Stage(pages.sparkSession, "matching")
     units = stage.write(workplaces(pages), "units")
-    open_ads = stage.write(ads(entries), "ads")
-
-    # hosts that belong to one firm; hosts of several firms are mail providers or the like
-    of_firm = units.select("firm", F.explode(F.array("host", "mail_host")).alias("host"))
-    if entities is not None:
-        flat = entities.select("organisasjonsnummer", F.lit(None).cast("string").alias("firm"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("town"), F.lit(None).cast("string").alias("municipal"), F.col("epostadresse").alias("mail"), F.col("hjemmeside").alias("homepage"))
-        legal = flat.withColumnRenamed("organisasjonsnummer", "org").where("org IS NOT NULL").mapInArrow(_take_apart_units, _UNIT)
-        parents = units.select("firm").distinct()
-        of_firm = of_firm.unionByName(legal.join(parents, "firm", "left_semi").select("firm", F.explode(F.array("host", "mail_host")).alias("host")))
-    hosts = stage.write(_only(of_firm, ["host"], "firm"), "hosts")
-    shared = of_firm.where("host IS NOT NULL").groupBy("host").agg(F.count_distinct("firm").alias("n")).where("n > 1").select("host")
-    boards = (
-        open_ads.where("host IS NOT NULL AND step IS NOT NULL").groupBy("host").agg(F.count_distinct("step").alias("n")).where(F.col("n") >= BOARD_EMPLOYERS)
-        .select("host").join(hosts, "host", "left_anti")
-    )
-    open_to_all = stage.write(shared.unionByName(boards).distinct(), "open_hosts")
-
-    few = units.count() <= BROADCAST_ROWS
-    sized = lambda side: F.broadcast(side) if few else side
-    where = units.groupBy("firm", "town").agg(F.min("org").alias("org"), F.count("*").alias("n"))
+    every = stage.write(ads(entries), "ads")
     alone = units.groupBy("firm").agg(F.min("org").alias("org"), F.count("*").alias("n")).where("n = 1").select("firm", "org")
-    settled = stage.write(
-        where.where("town IS NOT NULL").select("firm", "town", "org").unionByName(alone.select("firm", F.lit("").alias("town"), "org")), "places"
-    )
-
-    mine = lambda c: F.col(c)
-    current = open_ads.withColumn("rule", F.lit(None).cast("string")).withColumn("found", F.lit(None).cast("string"))
-    flags = open_to_all.select(F.col("host").alias("k0"), F.lit("y").alias("hit"))
-    current = _pass(current, flags, [mine("host")], "open").withColumn("board", F.col("rule").isNotNull()).withColumn("rule", F.lit(None).cast("string"))
-    current = current.withColumn("found", F.lit(None).cast("string"))
-    current = _pass(current, flags, [mine("mail_host")], "open").withColumn("provider", F.col("rule").isNotNull())
-    current = current.withColumn("rule", F.lit(None).cast("string")).withColumn("found", F.lit(None).cast("string"))
-
-    # firms by site and mail host
-    by_host = hosts.select(F.col("host").alias("k0"), F.col("firm").alias("hit"))
-    current = _pass(current, sized(by_host), [mine("host")], "site", ~F.col("board"))
-    current = _pass(current, sized(by_host), [mine("mail_host")], "mail host", ~F.col("provider"))
-    current = current.withColumn("firm", F.col("found")).withColumn("found", F.lit(None).cast("string"))
-    in_town = sized(settled.select(F.col("firm").alias("firm_at"), F.col("town").alias("town_at"), F.col("org").alias("org_at")))
-    guess = F.coalesce("town", F.when(F.col("ends").isNotNull(), F.col("ends")))
-    at = current.withColumn("firm_at", _spread(F.col("firm"), F.col("uuid"))).withColumn("town_at", F.coalesce("town", F.lit("")))
-    current = at.join(in_town, ["firm_at", "town_at"], "left").withColumn("found", F.col("org_at")).drop("firm_at", "town_at", "org_at")
-    # a firm with several workplaces and an ad without a town: the name's last word or the site's step may name the town
-    for part in ("ends", "step"):
-        open_place = F.col("firm").isNotNull() & F.col("found").isNull() & F.col("town").isNull() & F.col(part).isNotNull()
-        at = current.withColumn("firm_at", _spread(F.when(open_place, F.col("firm")), F.col("uuid"))).withColumn("town_at", F.coalesce(part, F.lit("")))
-        current = at.join(in_town, ["firm_at", "town_at"], "left").withColumn("found", F.coalesce("found", "org_at")).drop("firm_at", "town_at", "org_at")
-
-    # one workplace by weaker attributes and the town
-    no_site = F.col("host").isNull() | F.col("board")
-    no_mail = F.col("mail_host").isNull() | F.col("provider")
-    bare = no_site & no_mail
-    town = F.coalesce("town", F.lit(""))
-    single = units.join(alone.select("org"), "org", "left_semi").withColumn("town", F.lit(""))
-    placed = units.where("town IS NOT NULL")
-    both = placed.unionByName(single)
-    current = _pass(current, sized(_table(both, ["mail", "town"], "org")), [mine("mail"), town], "mail and town")
-    current = _pass(current, sized(_table(both, ["core", "town"], "org")), [mine("core"), town], "name and town")
-    current = _pass(current, sized(_table(placed, ["core", "town"], "org")), [mine("before"), mine("ends")], "name with town")
-    labels = both.select("org", "town", F.explode(F.array_distinct(F.array("joined", "first"))).alias("label"))
-    current = _pass(current, sized(_table(labels, ["label", "town"], "org")), [mine("label"), town], "site label and town", ~F.col("board"))
-    current = _pass(current, sized(_table(placed, ["first", "town"], "org")), [mine("step"), mine("town")], "board step and town", F.col("board"))
-    current = _pass(current, sized(_table(placed, ["tokens", "town"], "org")), [mine("tokens"), mine("town")], "name words and town", bare)
-    current = _pass(current, sized(_table(placed, ["first", "town"], "org")), [mine("first"), mine("town")], "first word and town", bare)
-
-    # any word of the ad's name that is a workplace's first word there; one slip in the first word; an abbreviated first word
-    current = stage.write(current, "by_name")
-    firsts = _only(placed.where(F.length("first") > 3), ["first", "town"], "org")
-    rest = current.where(F.col("rule").isNull() & bare & F.col("town").isNotNull()).select("uuid", "town", "words", "first", "last", "initial", "short")
-    any_word = rest.select("uuid", "town", F.explode("words").alias("first")).join(firsts, ["first", "town"])
-    current = _late(current, any_word, "any word and town")
-    rest = current.where(F.col("rule").isNull() & bare & F.col("town").isNotNull()).select("uuid", "town", "first", "last", "initial", "short")
-    near = placed.where(F.length("first") > 4).select("org", "town", "last", F.explode(_deletions("first")).alias("slip"))
-    slips = rest.where(F.length("first") > 4).select("uuid", "town", F.col("last").alias("ad_last"), F.explode(_deletions("first")).alias("slip")).join(near, ["slip", "town"])
-    same = F.col("last").eqNullSafe(F.col("ad_last")) | F.col("ad_last").isNull() | F.startswith(F.col("last"), F.col("ad_last"))
-    current = _late(current, slips.where(F.coalesce(same, F.lit(False))), "slip in name and town")
-    rest = current.where(F.col("rule").isNull() & bare & F.col("town").isNotNull() & F.col("short").isNotNull()).select("uuid", "town", "initial", "short")
-    abbreviated = rest.join(placed.select("org", "town", "initial", F.col("first").alias("whole")), ["initial", "town"])
-    current = _late(current, abbreviated.where(F.startswith(F.col("whole"), F.col("short"))), "abbreviation and town")
-
-    matched = stage.write(current.where("found IS NOT NULL").select(F.col("found").alias("org"), "uuid", "rule", "employer"), "matched")
-    judged = matched.where("employer IS NOT NULL").join(units.select("org", "firm"), "org")
-    precision = judged.groupBy("rule").agg(F.count("*").alias("n"), F.count_if(F.col("firm") == F.col("employer")).alias("right"))
-    rules = matched.select("rule").distinct().join(precision, "rule", "left")  # as many rows as there are rules
-    confidence = (F.coalesce("right", F.lit(0)) + PRIOR_RIGHT) / (F.coalesce("n", F.lit(0)) + PRIOR_ALL)
-    scored = rules.select("rule", confidence.alias("confidence"))
-    return matched.join(F.broadcast(scored), "rule").select(F.col("org").alias("organisasjonsnummer"), "uuid", "rule", "confidence")
-
-
-def _late(current: DataFrame, pairs: DataFrame, rule: str) -> DataFrame:
-    """A pass in which an ad has several keys: it is resolved where all hits are one workplace."""
-    hits = _only(pairs.select("uuid", "org"), ["uuid"], "org").withColumnRenamed("org", "late")
-    joined = current.join(hits, "uuid", "left")
-    hit = F.col("rule").isNull() & F.col("late").isNotNull()
-    return joined.withColumn("found", F.when(hit, F.col("late")).otherwise(F.col("found"))).withColumn(
-        "rule", F.when(hit, F.lit(rule)).otherwise(F.col("rule"))
-    ).drop("late")
+    flagged = stage.write(_flagged(every, host_owners(units, every, entities)).withColumn("ad", F.monotonically_increasing_id()), "flagged")
+
+    passes = [stage.write(_of_firms(flagged.where("firm IS NOT NULL"), units, alone), "pass0")]
+    rest = flagged.where("firm IS NULL")
+    marked = stage.write(units.join(alone.select("org", F.lit(True).alias("alone")), "org", "left").withColumn("id", F.monotonically_increasing_id()), "marked")
+    passes.append(stage.write(_pass(rest, marked, near=False), "pass1"))
+    bare = rest.where("bare AND size(towns) > 0").join(passes[1].select("uuid"), "uuid", "left_anti")
+    passes.append(stage.write(_pass(bare, marked, near=True), "pass2"))
+
+    matched = passes[0].unionByName(passes[1]).unionByName(passes[2])
+    beside = units.where("town IS NOT NULL").groupBy("firm", "town").agg(F.count("*").alias("n"))
+    placed = units.select("org", "firm", "town").join(beside, ["firm", "town"], "left").select("org", F.col("firm").alias("of"), F.coalesce("n", F.lit(1)).alias("n"))
+    full = stage.write(matched.join(placed, "org").join(every.select("uuid", "employer"), "uuid"), "matched")
+    labelled = full.where("employer IS NOT NULL").groupBy("rule").agg(F.count("*").alias("n"), F.count_if(F.col("of") == F.col("employer")).alias("right"))
+    counts = {r.rule: (r.n, r.right) for r in labelled.collect()}  # a row per rule
+    seen, right = (sum(c[k] for c in counts.values()) for k in (0, 1))
+    pooled = (right + 1) / (seen + 2)
+    sure = F.create_map(*[F.lit(x) for k in range(len(RULES)) for x in (k, (counts.get(k, (0, 0))[1] + PRIOR * pooled) / (counts.get(k, (0, 0))[0] + PRIOR))])[F.col("rule")]
+    names = F.array(*map(F.lit, RULES))[F.col("rule")]
+    out = full.select(F.col("org").alias("organisasjonsnummer"), "uuid", names.alias("rule"), sure.alias("firm_confidence"), (1 / F.col("n")).alias("place_confidence"))
+    return out.withColumn("confidence", F.col("firm_confidence") * F.col("place_confidence"))

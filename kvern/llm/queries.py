@@ -20,7 +20,7 @@ def p1_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    sure = p1_matches(spark, folder).where(F.col("confidence") >= matching.MIN_CONFIDENCE)
+    sure = p1_matches(spark, folder).where(F.col("firm_confidence") >= matching.MIN_CONFIDENCE)
     return sure.select("organisasjonsnummer", "uuid")
 
 

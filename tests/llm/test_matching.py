@@ -55,7 +55,27 @@ def test_last_delivery_holds_and_labels_give_confidence(spark):
     cases += [ad(f"l{k}", "Solvik Hotell", None, "Bu", org="S" if k < 8 else "999") for k in range(10)]
     out = {r.uuid: r for r in run(spark, UNITS, cases).collect()}
     assert set(out) == {f"l{k}" for k in range(10)}
-    assert abs(out["l0"].confidence - (8 + matching.PRIOR_RIGHT) / (10 + matching.PRIOR_ALL)) < 1e-9
+    # eight labels of ten name the firm; all rules together have one right and one wrong label more
+    assert abs(out["l0"].firm_confidence - (8 + matching.PRIOR * 9 / 12) / (10 + matching.PRIOR)) < 1e-9
+    assert out["l0"].place_confidence == 1 and out["l0"].confidence == out["l0"].firm_confidence
+
+
+def test_without_labels_and_with_two_workplaces_in_a_town(spark):
+    twins = [*UNITS, unit("8", "Tangen Frisør to", "T", "VIK", None, "tangen.example")]
+    out = run(spark, twins, [ad("a", "Tangen", "tangen.example", "Vik")]).collect()
+    assert [(r.organisasjonsnummer, r.firm_confidence, r.place_confidence, r.confidence) for r in out] == [("7", 0.5, 0.5, 0.25)]
+
+
+def test_all_towns_and_mails_of_an_ad_count(spark):
+    row = ("all", AT, AT, ("t", (None, "Ukjent", None), [("Oslo", None), ("ÅS", None)], [("HR", "x@gmail.example", None), ("HR", "kontakt@fjellbaker.example", None)]), "clash")
+    assert [r.organisasjonsnummer for r in run(spark, UNITS, [row]).collect()] == ["2"]
+
+
+def test_a_board_with_most_ads_and_keys_of_many_workplaces(spark):
+    many = [unit(str(100 + k), f"Felles {k}", f"M{k}", "BU") for k in range(200)]
+    cases = [ad(f"m{k}", "Felles", "https://jobbside.example/felles", "Bu") for k in range(300)] + [ad("k", "Kvitnes", "https://jobbside.example/kvitnes", "Bu")]
+    out = run(spark, [*UNITS, *many], cases).collect()
+    assert {r.uuid: r.organisasjonsnummer for r in out} == {"k": "5"}  # a first word of 200 workplaces names none
 
 
 def test_empty_tables(spark):
@@ -64,7 +84,11 @@ def test_empty_tables(spark):
     assert matching.match(pages, ads).count() == 0
 
 
-def test_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(matching, "BROADCAST_ROWS", 0)
-    got = {r.uuid: r.organisasjonsnummer for r in run(spark, UNITS, [a for a, _ in CASES]).collect()}
+def test_without_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = {r.uuid: r.organisasjonsnummer for r in run(spark, UNITS, [a for a, _ in CASES]).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == {a[0]: org for a, org in CASES if org}
