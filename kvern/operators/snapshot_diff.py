@@ -1,12 +1,14 @@
 """What changed between full snapshots, from subtracted invertible Bloom lookup tables.
 
 Each run's facts are spread over hash buckets and each bucket becomes a lookup
-table, whose size follows the expected differences and not the facts.  The tables
-of consecutive runs are subtracted and peeled; what comes out are the key hashes
-that differ.  A bucket that can't be peeled whole is built again with four times
-the cells; one that still fails after ``ATTEMPTS`` is compared row by row.  The
-keys found are joined back to the runs' facts, where their digests are verified;
-then one side alone means added or removed, both sides changed.
+table, whose size follows the differences and not the facts: their share is estimated
+first by the facts whose key hash falls into one of ``ESTIMATE`` classes, compared
+row by row.  The tables of consecutive runs are subtracted and peeled; what comes out
+are the pairs of key hash and digest that differ.  A bucket that can't be peeled whole
+is built again with four times the cells; one that still fails after ``ATTEMPTS`` is
+compared row by row.  The pairs found are joined back to the runs' facts, which verifies
+them and names the facts; one side alone means added or removed, both sides changed.
+A digest holds a second hash of the fact's name, so that two facts of one key hash stay apart.
 """
 
 from __future__ import annotations
@@ -22,20 +24,29 @@ from kvern.operators import iblt, snapshots
 from kvern.session import Stage
 
 BUCKET_ROWS = 16384  # facts of one run in a bucket
-CELL_SHARE = 0.75  # cells of a first table per fact; peeling needs about 1.3 cells per element that differs
+CELLS = 1.6  # cells of a first table per element that is expected to differ; peeling needs about 1.3
+ESTIMATE = 64  # classes of key hashes of which one is compared to size the tables; results come from all facts
 ATTEMPTS = 3
 
 _TABLE = "bucket int, run_no int, rows bigint, cells binary"
 _FOUND = "bucket int, run_no int, key bigint, digest bigint, side int, whole boolean"
 
 
-def _cells(rows: int, attempt: int) -> int:
+def _cells(differing: float, attempt: int) -> int:
     """A multiple of the number of hashes, and of 4 ** attempt."""
-    return iblt.HASHES * max(64, int(rows * CELL_SHARE / iblt.HASHES)) * 4**attempt
+    return iblt.HASHES * max(64, int(differing * CELLS / iblt.HASHES)) * 4**attempt
 
 
-def _build(attempt: int, bucket_rows: int):
-    size = _cells(bucket_rows, attempt)
+def _share(facts: DataFrame, runs: int) -> float:
+    """About how many elements differ between two runs, per fact of a run: the most of all pairs, with a margin for the estimate's error."""
+    some = facts.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(ESTIMATE)) == 0)
+    differ = _row_by_row(some.withColumn("bucket", F.lit(0)), runs).groupBy("run_no").agg(F.count("*").alias("n"))
+    most, seen = differ.agg(F.max("n")).first()[0] or 0, some.count()
+    return min(2.0, (most + 3 * most**0.5 + 3) * runs / max(seen, 1))
+
+
+def _build(attempt: int, differing: float):
+    size = _cells(differing, attempt)
 
     def build(group: pa.Table) -> pa.Table:
         keys, digests = (group[c].to_numpy().view(np.uint64) for c in ("key", "digest"))
@@ -72,9 +83,9 @@ def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _differences(facts: DataFrame, attempt: int, bucket_rows: int, runs: int) -> DataFrame:
+def _differences(facts: DataFrame, attempt: int, differing: float, runs: int) -> DataFrame:
     """What differs, by bucket and later run; a row with ``whole`` false for a bucket that failed."""
-    tables = facts.select("bucket", "run_no", "key", "digest").groupBy("bucket", "run_no").applyInArrow(_build(attempt, bucket_rows), _TABLE)
+    tables = facts.select("bucket", "run_no", "key", "digest").groupBy("bucket", "run_no").applyInArrow(_build(attempt, differing), _TABLE)
     # a table is the later side of its own run and the earlier side of the next
     sides = tables.select(
         "bucket",
@@ -111,7 +122,8 @@ def snapshot_changes(envelopes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Da
     stage = Stage(spark, "diff")
     held = snapshots.holding(snapshots.deliveries(envelopes), ["ids", "digests"])
     rows = snapshots.facts(held.drop("received_at"), {"digest": "digests"})
-    keyed = rows.select("run_no", "entity", "id", "digest", F.xxhash64("entity", "id").alias("key"))
+    named = F.xxhash64(F.lit("name"), "id", "entity")
+    keyed = rows.select("run_no", "entity", "id", F.xxhash64("digest", named).alias("digest"), F.xxhash64("entity", "id").alias("key"))
     facts = stage.write(keyed, "facts")
     count, runs = facts.agg(F.count("*"), F.max("run_no") + 1).first()
     runs = max(runs or 0, _last_run(envelopes) + 1)
@@ -119,12 +131,13 @@ def snapshot_changes(envelopes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Da
     buckets = max(1, round(count / max(runs, 1) / bucket_rows))
     facts = facts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
     fullest = count // max(runs, 1) // buckets + 1
+    differing = fullest * _share(facts, runs)
 
     found: list[str] = []
     pending = facts
     for attempt in range(ATTEMPTS + 1):
         exact = attempt == ATTEMPTS
-        step = _row_by_row(pending, runs) if exact else _differences(pending, attempt, fullest, runs)
+        step = _row_by_row(pending, runs) if exact else _differences(pending, attempt, differing, runs)
         found.append(f"found{attempt}")
         out = stage.write(step, found[-1])
         if exact or out.where("NOT whole").isEmpty():
@@ -132,23 +145,14 @@ def snapshot_changes(envelopes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Da
         failed = out.where("NOT whole").select("bucket").distinct()
         pending = facts.join(failed, "bucket", "left_semi")
     # a failed bucket is built again for all its runs, so what its other pairs gave is given again
-    differing = stage.read(found, out).where("whole").select("bucket", "run_no", "key", "digest", "side").distinct()
-    by_key = differing.groupBy("run_no", "key").agg(
-        F.max(F.when(F.col("side") > 0, F.col("digest"))).alias("now"), F.max(F.when(F.col("side") < 0, F.col("digest"))).alias("before")
-    )
-    both = by_key.select(
-        "key",
-        F.col("run_no").alias("later"),
-        "now",
-        "before",
-        F.when(F.col("now").isNotNull(), F.col("run_no")).otherwise(F.col("run_no") - 1).alias("run_no"),
+    elements = stage.read(found, out).where("whole").select("bucket", "run_no", "key", "digest", "side").distinct()
+    sides = elements.select(
+        "key", "digest", F.col("run_no").alias("later"), (F.col("side") > 0).alias("now"), F.when(F.col("side") > 0, F.col("run_no")).otherwise(F.col("run_no") - 1).alias("run_no")
     )
-    named = both.join(facts.select("run_no", "key", "digest", "entity", "id"), ["run_no", "key"])
-    verified = named.where(F.col("digest") == F.coalesce("now", "before"))
-    kind = F.when(F.col("before").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed")
-    return verified.select(F.col("later").alias("run_no"), "entity", "id", kind.alias("change_kind")).join(
-        snapshots.run_order(envelopes), "run_no"
-    ).select("run_id", "entity", "id", "change_kind")
+    named = sides.join(facts.select("run_no", "key", "digest", "entity", "id"), ["run_no", "key", "digest"])
+    by_fact = named.groupBy("later", "entity", "id").agg(F.bool_or("now").alias("now"), F.bool_or(~F.col("now")).alias("before"))
+    kind = F.when(~F.col("before"), "added").when(~F.col("now"), "removed").otherwise("changed")
+    return by_fact.select(F.col("later").alias("run_no"), "entity", "id", kind.alias("change_kind")).join(F.broadcast(snapshots.run_order(envelopes)), "run_no").select("run_id", "entity", "id", "change_kind")
 
 
 def _last_run(envelopes: DataFrame) -> int:

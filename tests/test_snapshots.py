@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kvern.functions.canonical import canonical
 from kvern.operators import history, iblt, snapshot_diff
@@ -137,6 +138,21 @@ def test_empty_single_and_odd_deliveries(spark):
     assert snapshot_diff.snapshot_changes(envelopes(spark, [("a", 0, 1, [("x", "1")]), ("a", 1, 1, None)])).count() == 1
 
 
+def test_two_facts_of_one_key_hash_stay_apart(spark, monkeypatch):
+    real = snapshot_diff.F.xxhash64
+    monkeypatch.setattr(snapshot_diff.F, "xxhash64", lambda *c: F.lit(5).cast("bigint") if [x for x in c if isinstance(x, str)] == ["entity", "id"] else real(*c))
+    rows = random_rows(3, orgs=4)
+    assert {tuple(r) for r in snapshot_diff.snapshot_changes(envelopes(spark, rows)).collect()} == naive(rows)[0]
+
+
+def test_tables_follow_the_differences(spark):
+    rows = [("hot", run, run, [(f"c{k}", str(k + (run and k % 50 == 0))) for k in range(20000)]) for run in range(2)]
+    held = snapshot_diff.snapshots.holding(snapshot_diff.snapshots.deliveries(envelopes(spark, rows)), ["ids", "digests"])
+    facts = snapshot_diff.snapshots.facts(held.drop("received_at"), {"digest": "digests"}).select("run_no", "digest", F.xxhash64("entity", "id").alias("key"))
+    share = snapshot_diff._share(facts, 2)
+    assert 0.04 <= share < 0.2 and 32 * snapshot_diff._cells(20000 * share, 0) < 16 * 20000
+
+
 def test_one_entity_with_nearly_all_facts(spark):
     rows = [("hot", run, run, [(f"c{k}", str(k + (run and k % 50 == 0))) for k in range(5000)]) for run in range(2)]
     out = snapshot_diff.snapshot_changes(envelopes(spark, rows), bucket_rows=500)
