@@ -60,6 +60,8 @@ def facts(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
     parts = F.arrays_zip("ids", *fields.values())
     repeats = F.size(F.array_distinct("ids")) < F.size("ids")
     keep = [c for c in rows.columns if c not in ("ids", *fields.values())]
-    out = rows.select(*keep, F.when(repeats, F.col("ids")).alias("ids"), F.posexplode(parts).alias("pos", "f"))
+    # before the arrays are taken apart: beside the generator it would be worked out for every element again
+    whole = rows.select(*keep, F.when(repeats, F.col("ids")).alias("ids"), parts.alias("parts"))
+    out = whole.select(*keep, "ids", F.posexplode("parts").alias("pos", "f"))
     out = out.where("f.ids IS NOT NULL AND (ids IS NULL OR array_position(ids, f.ids) = pos + 1)")
     return out.select(*keep, F.col("f.ids").alias("id"), *[F.col(f"f.{v}").alias(k) for k, v in fields.items()])
