@@ -29,7 +29,7 @@ MIN_LETTERS = 2  # characters that a one-byte transformation must be seen to cha
 CLEARLY = 4  # times as many texts with the clean spelling as with the garbled one, for a pattern to show a transformation
 MIN_RELIABILITY = 0.5  # share of a character's texts in which it is garbled
 SURE_LETTERS = 4  # ASCII letters of a word from which a verdict without a twin is enough
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20  # size up to which the verdicts on words are broadcast
 
 _PAIR = "pattern string, garbled string, clean string, transform string, n_garbled bigint, n_clean bigint, changed string"
 _VERDICT = "pattern string, form string, restored string, transform string"
@@ -228,7 +228,8 @@ def _hits(words: DataFrame, verdicts: DataFrame) -> DataFrame:
     A verdict without a twin on a word of few ASCII letters ("µm") may be a unit or
     a sign, so it is not ``sure``: it counts where the text has a sure one.
     """
-    few = verdicts.count() <= BROADCAST_ROWS
+    size = verdicts.agg(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in verdicts.dtypes if kind == "string") + 64)).first()[0] or 0
+    few = size <= BROADCAST_BYTES
     known = codecs_seen.transformations()
     plain = [n for n, t in known.items() if t.direct or isinstance(t, codecs_seen.Lossy)]
     long = F.length(F.regexp_replace("form", "[^A-Za-z]", "")) >= SURE_LETTERS

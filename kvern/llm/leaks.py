@@ -25,9 +25,9 @@ MIN_WORDS = 15  # shortest passage that counts
 #: An alignment gives 1 for a word that is the same, -1 for one that differs or is missing.
 MIN_SCORE, MIN_IDENTITY = 12, 0.81
 TILE = 256  # words; hits of one tile of a text share a window
-SLACK = 16  # words that a passage may have more than its item
 PAIRS = 64  # windows aligned together
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20  # size up to which a side of a join is broadcast
+SEED_BYTES, WINDOW_BYTES = 24, 40  # of a row
 
 
 def _plain_letters() -> tuple[str, str]:
@@ -128,9 +128,9 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sized(side: DataFrame, rows: int) -> DataFrame:
-    """A side of a join: broadcast below a checked number of rows, else as the optimizer sees fit."""
-    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
+def _sized(side: DataFrame, size: int) -> DataFrame:
+    """A side of a join: broadcast below a checked size in bytes, else as the optimizer sees fit."""
+    return F.broadcast(side) if size <= BROADCAST_BYTES else side
 
 
 def leak_scores(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -144,19 +144,21 @@ def leak_scores(documents: DataFrame, items: DataFrame) -> DataFrame:
     words = items.select("item_id", plain_words(F.col("text")).alias("words"))
     seed = stage.write(seeds(words), "seeds")
     texts = documents.select("doc_id", plain_words(F.col("text")).alias("words"))
-    hits = _grams(texts, ["doc_id"]).join(_sized(seed, seed.count()), "gram")
+    hits = _grams(texts, ["doc_id"]).join(_sized(seed, seed.count() * SEED_BYTES), "gram")
     windows = hits.groupBy("doc_id", "item_id", F.floor(F.col("pos") / TILE).alias("tile")).agg(
         F.min(F.col("pos") - F.col("at")).alias("low"), F.max(F.col("pos") - F.col("at")).alias("high")
     )
     found = stage.write(windows, "windows")
     # the texts hit are split into words again; the join comes first, so that no other text is
-    texts_hit = documents.select("doc_id", "text").join(_sized(found, found.count()), "doc_id")
+    texts_hit = documents.select("doc_id", "text").join(_sized(found, found.count() * WINDOW_BYTES), "doc_id")
     texts_hit = texts_hit.withColumn("words", plain_words(F.col("text"))).drop("text")
     item_words = words.select("item_id", F.col("words").alias("item"))
-    full = texts_hit.join(_sized(item_words, items.count()), "item_id")
-    # low and high are where the item would begin in the text, by its hits
-    low = F.greatest(F.lit(0), F.col("low") - SLACK)
-    window = F.slice("words", low + 1, F.col("high") - low + F.size("item") + SLACK)
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    full = texts_hit.join(_sized(item_words, 4 * size), "item_id")  # words take about four times the text
+    # low and high are where the item would begin in the text, by its hits.  Each word too many costs one and each equal
+    # one gives one, so no alignment gains by reaching farther than the item's own number of words beyond these
+    low = F.greatest(F.lit(0), F.col("low") - F.size("item"))
+    window = F.slice("words", low + 1, F.col("high") - low + 2 * F.size("item"))
     schema = f"doc_id {dict(documents.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, score int, equal int"
     return full.select("doc_id", "item_id", window.alias("window"), "item").mapInArrow(_score, schema)
 

@@ -33,6 +33,13 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(documents, f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def p7_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts again, from their ids; empty for empty and null ones."""
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    encoded = tokens.encode_corpus(documents, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return tokens.decode_corpus(encoded, f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     items = spark.read.parquet(f"{folder}/eval_items.parquet")
@@ -48,6 +55,6 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garbling.restore_garbled(documents).select("doc_id", F.col("restored").alias("text"), "left")
 
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p4_found": p4_found, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
+ORACLES: dict[str, str] = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
 MODULES = [sys.modules[__name__]]

@@ -19,7 +19,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from kvern.session import Stage
 
@@ -30,7 +29,9 @@ UNKNOWN = r"\p{Cn}"
 BLOCK_BITS = 21  # a block holds at most 2 ** (BLOCK_BITS + 1) characters, or one text
 
 
-def _load(vocabulary: str) -> Tokenizer:
+def _load(vocabulary: str):
+    from tokenizers import Tokenizer  # here, so that without it the rest of the subpackage works
+
     tokenizer = Tokenizer.from_str(vocabulary)
     tokenizer.encode_special_tokens = True  # their spellings in a text are ordinary text
     return tokenizer
@@ -40,7 +41,7 @@ def _encoder(spark, path: str):
     """A function from texts to an array of id lists.  The vocabulary, a file of fixed size, goes to each executor once."""
     shipped = spark.sparkContext.broadcast(Path(path).read_text())
 
-    def encode(texts: list[str], tokenizer: Tokenizer) -> pa.Array:
+    def encode(texts: list[str], tokenizer) -> pa.Array:
         found = tokenizer.encode_batch(texts, add_special_tokens=False)
         return pa.array([x.ids for x in found], pa.list_(pa.int32()))
 

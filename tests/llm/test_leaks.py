@@ -91,6 +91,6 @@ def test_odd_texts_and_empty_tables(spark):
 
 
 def test_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(leaks, "BROADCAST_BYTES", 0)
     docs, items, truth = corpus(8)
     assert find(spark, docs, items) == truth
