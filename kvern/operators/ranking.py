@@ -72,14 +72,19 @@ def with_context(df: DataFrame, key: str, order: list[Column], text: str, before
 def nearest_percentile(df: DataFrame, column: str, share: float) -> DataFrame:
     """``value``: the sorted values' one at index ``floor(share * n)``, not interpolated; null for no values.
 
-    Distinct values are counted first and the counts are summed in order, so the
-    values are never gathered in one list.
+    Distinct values are counted and put into ranges; the ranges' totals, a row each,
+    tell the range that holds the index, and only that one is summed up in order.
+    Runs a job: the ranges are written, so that both readings see the same.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy(column))
-    placed = counts.select(F.col(column).alias("value"), upto.alias("upto"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    ranged = Stage(df.sparkSession, "percentile").write(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "counts")
+    totals = ranged.groupBy("part").agg(F.sum("n").alias("rows"), F.min("value").alias("lowest"))
+    upto = F.sum("rows").over(Window.orderBy("lowest"))
     index = F.least(F.col("all") - 1, F.floor(F.col("all") * F.lit(share)))
-    return placed.where(F.col("upto") > index).agg(F.min("value").alias("value"))
+    placed = totals.select("part", (upto - F.col("rows")).alias("before"), upto.alias("upto"), F.sum("rows").over(Window.partitionBy()).alias("all")).withColumn("index", index)
+    held = placed.where((F.col("before") <= F.col("index")) & (F.col("index") < F.col("upto"))).select("part", "before", "index")
+    inside = ranged.join(F.broadcast(held), "part").withColumn("at", F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("value")))
+    return inside.where(F.col("at") > F.col("index")).agg(F.min("value").alias("value"))
 
 
 def fixed_histogram(df: DataFrame, column: str, domain: list[str]) -> DataFrame:
