@@ -39,3 +39,13 @@ def org_mentions(text: Column) -> Column:
     """Valid numbers that stand in a text as three groups of three digits, each once, in order."""
     found = F.regexp_extract_all(text, F.lit(r"(?<![0-9])([0-9]{3}[ .\x{A0}]?[0-9]{3}[ .\x{A0}]?[0-9]{3})(?![0-9])"), F.lit(1))
     return F.array_distinct(F.filter(F.transform(found, bare_org), is_org_number))
+
+
+#: Words that label an organisation number.
+LABELS = r"(?:org\.? ?(?:nr|nummer)\.?|organisasjonsnummer|foretaksnummer|organi[sz]ation (?:number|no\.?)|reg\. no\.?|MVA|VAT(?: no\.?| number)?)"
+
+
+def labelled_numbers(text: Column) -> Column:
+    """Valid numbers that a text calls an organisation number, each once, in order."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?i){LABELS}\s*[:#-]?\s*(?:NO\s*)?([0-9]{{3}}[ .\x{{A0}}]?[0-9]{{3}}[ .\x{{A0}}]?[0-9]{{3}})(?![0-9])"), F.lit(1))
+    return F.array_distinct(F.filter(F.transform(found, bare_org), is_org_number))

@@ -7,8 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Company kinds at the end of Norwegian legal names.
-LEGAL_SUFFIXES = ("as", "asa", "ans", "da", "enk", "sa", "ba", "nuf", "ks", "iks", "kf", "sti", "brl", "fli", "esek", "sam", "spa", "bbl", "avd")
+#: Company kinds in legal names.
+LEGAL_SUFFIXES = ("as", "asa", "ans", "da", "sa", "ba", "nuf", "ks", "enk", "iks", "bbl", "brl", "sti", "kf", "fli", "ab", "ltd", "inc", "gmbh")
 #: Second-level domains under which others register.
 SECOND_LEVEL = ("co", "com", "org", "net", "priv", "kommune", "gs", "vgs")
 #: Hosts of social networks and their names.
@@ -118,3 +118,23 @@ def page_priority(url: Column) -> Column:
         .when(path.rlike("nytt|nyhet|aktuelt|news"), 4)
         .otherwise(5)
     )
+
+
+#: Legal forms that stand before or after a name's core.
+NAME_FORMS = ("as", "asa", "ans", "da", "sa", "enk", "nuf", "ba", "ks", "sf", "iks")
+
+
+def core_name(name: Column) -> Column:
+    """A legal name in lower case without legal forms at either end; empty where nothing else is left."""
+    words = F.lower(F.trim(F.regexp_replace(name, r"[^\p{L}\p{N}_]+", " ")))
+    forms = "|".join(NAME_FORMS)
+    return F.regexp_replace(F.regexp_replace(words, rf"( |^)(({forms})( |$))+$", ""), rf"^(({forms}) )+", "")
+
+
+def handle_of_company(handle: Column, name: Column, site: Column) -> Column:
+    """Whether a social handle holds all words of a company's name, or the whole label of its domain where that has four letters or more."""
+    compact = F.regexp_replace(fold(handle), "[^a-z0-9]", "")
+    words = name_tokens(name)
+    label = F.replace(F.element_at(F.split(registered_domain(site), r"\."), 1), F.lit("-"), F.lit(""))
+    named = (F.size(words) > 0) & F.forall(words, lambda w: F.contains(compact, w))
+    return F.coalesce((compact != "") & (named | ((F.length(label) >= 4) & F.contains(compact, label))), F.lit(False))

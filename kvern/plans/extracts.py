@@ -9,6 +9,7 @@ from kvern.functions import dates, identifiers, spans, text
 from kvern.functions.canonical import value_digests
 from kvern.operators import gate, ranking, shredding
 from kvern.plans import companies, tables
+from kvern.plans import tables
 from kvern.plans.tables import CLAIMS_SQL, ENTITIES_SQL, NOW_SQL, table
 
 
@@ -194,7 +195,7 @@ QUERIES = {
 }
 
 _WORDS = "regexp_extract_all(replace(strip_accents(translate(lower(navn), 'øå', 'oa')), 'æ', 'ae'), '[a-z0-9]+')"
-_KEPT = f"list_filter({_WORDS}, lambda t: NOT list_contains({list(text.LEGAL_SUFFIXES)}, t))"
+_KEPT = f"list_filter({_WORDS}, lambda t: NOT list_contains({tables.KINDS_SQL}, t))"
 _U = "SELECT record_id, requested_org, unnest(_embedded.underenheter) AS u FROM subunit_pages"
 ORACLES = {
     "active_roles": """WITH bodies AS (SELECT record_id, CAST(body AS JSON) AS doc FROM role_records WHERE json_valid(body)),

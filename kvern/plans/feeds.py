@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from kvern.functions import text
 from kvern.operators import facts, hosts, ranking
-from kvern.session import Stage
+from kvern.plans import tables
 from kvern.plans.tables import table
+from kvern.session import Stage
 from kvern.sources import inputs, jobfeed
 from kvern.streaming import feed
 
@@ -141,7 +142,7 @@ _STATE = "SELECT uuid, status, sistEndret, received_at FROM job_entries {0} QUAL
 _LATEST = f"SELECT uuid, status, CAST(floor(epoch(sistEndret)) AS BIGINT) AS changed FROM ({_STATE.format('')})"
 _NAME = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+', ' ', 'g'))"
 _FOLD = "replace(strip_accents(translate(lower({0}), 'øå', 'oa')), 'æ', 'ae')"
-_SUFFIXES = str(list(text.LEGAL_SUFFIXES))
+_SUFFIXES = tables.KINDS_SQL
 ORACLES = {
     "feed_latest_state": _LATEST,
     "feed_closed": f"SELECT uuid FROM ({_LATEST}) WHERE status <> 'ACTIVE'",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kvern.functions import dates, identifiers, pointers, text
 from kvern.operators import hierarchy, hosts, ranking, robots
+from kvern.plans import tables
 from kvern.plans.tables import table
 from kvern.sources import bundle, pages
 
@@ -140,7 +141,7 @@ _PRIORITY = f"""CASE WHEN {_PATH} IN ('', '/') THEN 0 WHEN regexp_matches({_PATH
 _ORDER = f"{_PRIORITY}, length(url), url, page_id"
 _FOLD = "replace(strip_accents(translate(lower({0}), 'øå', 'oa')), 'æ', 'ae')"
 _WORDS = "regexp_extract_all(" + _FOLD + ", '[a-z0-9]+')"
-_KEPT = "list_filter(" + _WORDS.format("navn") + f", lambda t: NOT list_contains({list(text.LEGAL_SUFFIXES)}, t))"
+_KEPT = "list_filter(" + _WORDS.format("navn") + f", lambda t: NOT list_contains({tables.KINDS_SQL}, t))"
 _MONTH = "[" + ", ".join(f"'{m[0]}'" for m in dates.MONTHS) + "]"
 ORACLES = {
     "url_parts": f"SELECT page_id, {_H} AS host, {_D} AS domain, CAST(NULL AS VARCHAR) AS network FROM web_pages",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvern.operators.ranking import latest
+
 from kvern.operators.ranking import best
 
 METADATA = (
@@ -49,3 +51,9 @@ def extension(content_type):
         F.when(kind.contains("json"), ".json").when(kind.isin("text/html", "application/xhtml+xml"), ".html").when(kind.contains("xml"), ".xml")
         .when(kind.startswith("text/"), ".txt").otherwise(".bin")
     )
+
+
+def read_previous(spark, path: str, schema: str, key: str, order: str):
+    """The last row of each key in JSON lines, plain or gzipped; blank lines and rows without a key are none."""
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    return latest(rows.where(F.col(key).isNotNull()), [key], [order])
