@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvern.operators import snapshots
+from kvern.session import Stage
 
 
 def ledger(updates: DataFrame) -> DataFrame:
@@ -136,9 +137,14 @@ def _ended(envelopes: DataFrame, rows: DataFrame, at=None) -> DataFrame:
     return cut.where("valid_from < valid_to").drop("last")
 
 
+def _ledger_of(envelopes: DataFrame) -> DataFrame:
+    """The ledger of deliveries.  Runs a job: the updates are written, as the sweep reads them several times."""
+    return ledger(Stage(envelopes.sparkSession, "history").write(updates(envelopes), "updates"))
+
+
 def current_versions(envelopes: DataFrame) -> DataFrame:
-    """The versions as now on record: by the ledger's rows that nothing superseded."""
-    now = ledger(updates(envelopes)).where("recorded_to IS NULL")
+    """The versions as now on record: by the ledger's rows that nothing superseded.  Runs a job."""
+    now = _ledger_of(envelopes).where("recorded_to IS NULL")
     return versions(_facts(envelopes, _ended(envelopes, now)))
 
 
@@ -148,5 +154,5 @@ def versions_as_recorded(envelopes: DataFrame, at: str) -> DataFrame:
     Of runs that had ended by then, one whose delivery was not yet recorded goes on as the run before it.
     """
     when = F.lit(at).cast("timestamp")
-    then = ledger(updates(envelopes)).where((F.col("recorded_from") <= when) & (F.col("recorded_to").isNull() | (F.col("recorded_to") > when)))
+    then = _ledger_of(envelopes).where((F.col("recorded_from") <= when) & (F.col("recorded_to").isNull() | (F.col("recorded_to") > when)))
     return versions(_facts(envelopes, _ended(envelopes, then, when)))
